@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycatalog.llm import canonical
+from skycatalog.llm import canonical, leaks, sentences
 from skycatalog.session import read_table
 
 # Spellings of filter names that the catalog's aliases leave out.
@@ -44,5 +44,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where("value <> canonical").select("field_name", "row_id", "canonical")
 
 
-QUERIES = {"p2_found": p2_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), verbatim_only=True).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_starts(read_table(spark, d, "documents"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(read_table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
 ORACLE: dict[str, str] = {}
