@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycatalog.llm import canonical, leaks, sentences
+from skycatalog.llm import canonical, leaks, mixing, sentences
 from skycatalog.session import read_table
 
 # Spellings of filter names that the catalog's aliases leave out.
@@ -52,6 +52,15 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    shares = mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
+    return shares.withColumn("actual_share", F.round("actual_share", 6))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_starts(read_table(spark, d, "documents"))
 
@@ -60,5 +69,5 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sentences": p9_sentences}
 ORACLE: dict[str, str] = {}
