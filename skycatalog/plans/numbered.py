@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycatalog.operators import nearest_time, schema_drift, sessions, timestamps
+from skycatalog.operators import nearest_time, schema_drift, sessions, spikes, timestamps
 from skycatalog.session import read_table, squeeze
 
 DARK_TOLERANCE_S = 36 * 3600
@@ -60,6 +60,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("light_id"), F.col("right_id").alias("dark_id"))
 
 
+#: What a sensor and a star measurement can be at all, and what counts as a gross departure (degrees; ratio as logarithm).
+READINGS = [
+    spikes.Field("ccd_temp", -100.0, 100.0, False, 5.0),
+    spikes.Field("fwhm", 0.0, 100.0, True, 0.69, lowest_open=True),
+    spikes.Field("hfr", 0.0, 100.0, True, 0.69, lowest_open=True),
+    spikes.Field("star_count", 0.0, 500_000.0, True, 1.1),
+]
+
+
+def p4_readings(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.score_readings(read_table(spark, d, "frames"), source=squeeze("camera_raw"), time="date_obs_utc", row_id="id", fields=READINGS)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_readings(spark, d).where("verdict is not null").select(F.col("id").alias("frame_id"), F.col("field").alias("field_name"))
+
+
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     r = read_table(spark, d, "raw_keywords")
     plain = F.lower("file_ext").isin("fits", "xisf")
@@ -91,7 +108,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("key").alias("camera"), ms("start_us").alias("start_ms"), ms("end_us").alias("end_ms"), F.col("event_count").alias("frame_count"), F.col("distinct_count").alias("target_count"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_uniform": p3_uniform, "p5_found": p5_found, "p5_status": p5_status, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_uniform": p3_uniform, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_status": p5_status, "p6_found": p6_found}
 
 _CAMERA = r"trim(regexp_replace(lower(camera_raw), '\s+', ' ', 'g'))"
 
