@@ -219,6 +219,8 @@ def canonical_map(values: DataFrame, reference: DataFrame, blocks: int | None =
     distinct = values.select("domain", "value").where(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "").distinct()
     spread = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["domain", "shard", "block"]
+    # a fixed number of partitions: values are few bytes but long work, so they must not be coalesced
+    spread, pieces = spread.repartition(blocks, *keys), pieces.repartition(blocks, *keys)
     hits = spread.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInPandas(_search, "domain string, value string, rank int, distance int, canonical string")
     best = hits.groupBy("domain", "value").agg(F.min(F.struct("rank", "distance", "canonical")).alias("w")).select("domain", "value", F.col("w.canonical").alias("canonical"))
     return distinct.join(best, ["domain", "value"], "left").select("domain", "value", F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))
