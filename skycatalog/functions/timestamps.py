@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,12 +76,19 @@ def readings(text: Column) -> Column:
     return F.filter(F.array(*[f.cast(READING) for f in found]), lambda x: x.isNotNull())
 
 
+@lru_cache(maxsize=1)
+def _zone_names() -> tuple[str, ...]:
+    """Zones that Spark's JVM knows; any other name would fail the job."""
+    ids = SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return tuple(sorted(z for z in ids if "/" in z or z in ("UTC", "GMT")))
+
+
 def wall_to_utc(wall_s: Column, zone: Column) -> Column:
     """UTC second of a wall clock in an IANA zone; NULL where the zone's clocks show it never or twice, or the zone is unknown.
 
     Offsets a day before and after bracket any change of the zone; a candidate holds if it shows the same wall clock.
     """
-    known = zone.rlike(r"^(?:[A-Z][A-Za-z_]+(?:/[A-Za-z0-9_+\-]+){1,2}|UTC|GMT)$")
+    known = zone.isin(*_zone_names())
     z = F.when(known, zone).otherwise(F.lit("UTC"))
     shown = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), z))
     before, after = wall_s - 86400, wall_s + 86400

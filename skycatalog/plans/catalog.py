@@ -31,6 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
+def micros(df: DataFrame) -> DataFrame:
+    """Timestamps as epoch microseconds, which every engine shows alike."""
+    return df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
+
+
 def current(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Frames once each, with the columns asked for."""
     return one_row_per_id(read_table(spark, d, "frames"), "id", "updated_at", list(cols))
@@ -137,10 +142,10 @@ def mosaic_progress(spark: SparkSession, d: str) -> DataFrame:
     return analytics.mosaic_progress(current(spark, d, "frame_type", "target_id", "object_raw", "exposure_seconds"))
 
 
-@query(f"""with {CF} select lower(trim(telescope_raw)) as telescope, lower(trim(regexp_replace(camera_raw, '\\s+', ' ', 'g'))) as camera, focal_length, count(*) as frame_count, min(date_obs_utc) as first_used, max(date_obs_utc) as last_used
+@query(f"""with {CF} select lower(trim(telescope_raw)) as telescope, lower(trim(regexp_replace(camera_raw, '\\s+', ' ', 'g'))) as camera, focal_length, count(*) as frame_count, epoch_us(min(date_obs_utc)) as first_used, epoch_us(max(date_obs_utc)) as last_used
 from cf where telescope_raw is not null or camera_raw is not null group by 1, 2, 3""")
 def detect_equipment(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.equipment_in_use(current(spark, d, "telescope_raw", "camera_raw", "focal_length", "date_obs_utc"))
+    return micros(analytics.equipment_in_use(current(spark, d, "telescope_raw", "camera_raw", "focal_length", "date_obs_utc")))
 
 
 @query(f"with {CF} select frame_type, frame_type_source, count(*) as n from cf group by 1, 2")
@@ -175,9 +180,9 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return files.upsert_discovered(prior, seen, F.lit("2030-01-01").cast("timestamp"))
 
 
-@query(f"with {SCAN_SQL} select * from u")
+@query(f"with {SCAN_SQL} select * replace (epoch_us(file_mtime) as file_mtime) from u")
 def upsert_discovered(spark: SparkSession, d: str) -> DataFrame:
-    return _upserted(spark, d).select("watch_folder_id", "relative_path", "size_bytes", "file_mtime", "sha256", "status", "is_new", "changed", "was_restored")
+    return micros(_upserted(spark, d).select("watch_folder_id", "relative_path", "size_bytes", "file_mtime", "sha256", "status", "is_new", "changed", "was_restored"))
 
 
 @query(f"with {SCAN_SQL} select count(*) as files_seen, count(*) filter (where is_new) as files_added, count(*) filter (where changed and not is_new) as files_updated, count(*) filter (where file_mtime is null) as files_errored from u")
@@ -197,9 +202,9 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return files.resolve_duplicates(read_table(spark, d, "files")).select("id", "status", "duplicate_of_id")
 
 
-@query("select id, created_at from files where sha256 is null and status in ('present', 'duplicate') order by created_at, id limit 500")
+@query("select id, epoch_us(created_at) as created_at from files where sha256 is null and status in ('present', 'duplicate') order by files.created_at, id limit 500")
 def unhashed_topk(spark: SparkSession, d: str) -> DataFrame:
-    return files.unhashed(read_table(spark, d, "files"), 500).select("id", "created_at")
+    return micros(files.unhashed(read_table(spark, d, "files"), 500).select("id", "created_at"))
 
 
 def _moves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,7 +242,7 @@ def path_list_export(spark: SparkSession, d: str) -> DataFrame:
     return analytics.path_list(read_table(spark, d, "files"), "/archive")
 
 
-@query("select id, replace(substr(full_path, length('/archive') + 2), '\\', '/') as rel, not list_bool_or(list_transform(string_split(full_path, '/'), s -> (starts_with(s, '.') and len(s) > 0) or lower(s) in ('node_modules', 'darks'))) as walked from (select id, '/archive/' || watch_folder_id || '/' || relative_path as full_path from files)")
+@query("select id, replace(substr(full_path, length('/archive') + 2), '\\', '/') as rel, not list_bool_or(list_transform(string_split(full_path, '/'), lambda s: (starts_with(s, '.') and len(s) > 0) or lower(s) in ('node_modules', 'darks'))) as walked from (select id, '/archive/' || watch_folder_id || '/' || relative_path as full_path from files)")
 def walk_rules(spark: SparkSession, d: str) -> DataFrame:
     f = read_table(spark, d, "files").select("id", F.concat(F.lit("/archive/"), "watch_folder_id", F.lit("/"), "relative_path").alias("p"))
     return f.select("id", scalar.posix_relative(F.lit("/archive"), F.col("p")).alias("rel"), scalar.walks_into(F.col("p"), ["darks"]).alias("walked"))
@@ -277,15 +282,15 @@ def _typed(key: str, kind: str) -> str:
 
 
 @query(f"""with {CF} select id, {_typed('OBJECT', 's')} as object, {_typed('FILTER', 's')} as filter, {_typed('IMAGETYP', 's')} as image_type, {_typed('DATE-OBS', 's')} as date_obs, coalesce({_typed('EXPTIME', 'n')}, {_typed('EXPOSURE', 'n')}) as exposure_seconds,
- {_typed('CCD-TEMP', 'n')} as ccd_temp, {_typed('GAIN', 'n')} as gain, {_typed('XBINNING', 'n')} as binning_x, {_typed('NAXIS1', 'n')} as width_px from cf""")
+ {_typed('CCD-TEMP', 'n')} + 0.0 as ccd_temp, {_typed('GAIN', 'n')} as gain, {_typed('XBINNING', 'n')} as binning_x, {_typed('NAXIS1', 'n')} as width_px from cf""")
 def frame_records(spark: SparkSession, d: str) -> DataFrame:
-    return frames.frame_records(current(spark, d, "headers_json"), "headers_json", ["id"]).select("id", "object", "filter", "image_type", "date_obs", "exposure_seconds", "ccd_temp", "gain", "binning_x", "width_px")
+    return frames.frame_records(current(spark, d, "headers_json"), "headers_json", ["id"]).select("id", "object", "filter", "image_type", "date_obs", "exposure_seconds", (F.col("ccd_temp") + 0.0).alias("ccd_temp"), "gain", "binning_x", "width_px")
 
 
 _NORM = "nullif(upper(regexp_replace(regexp_replace(trim(it), '[_-]', ' ', 'g'), '\\s+', ' ', 'g')), '')"
 _TYPES = " ".join(f"when '{k}' then '{v}'" for k, v in rules.IMAGE_TYPES.items())
 _PATH = "case " + " ".join(f"when regexp_matches(s, '(^|[-_.]){w}($|[-_.])') then '{k}'" for w, k in rules.PATH_WORDS) + " end"
-_BY_PATH = f"list_filter(list_transform(list_reverse(string_split(lower(relative_path), '/')), s -> {_PATH}), x -> x is not null)[1]"
+_BY_PATH = f"list_filter(list_transform(list_reverse(string_split(lower(relative_path), '/')), lambda s: {_PATH}), lambda x: x is not null)[1]"
 
 
 @query(f"""with {CF}, c as (select cf.id, relative_path, {HDR.format('IMAGETYP')} as it from cf left join files f on f.id = cf.file_id),
@@ -402,9 +407,9 @@ def cone_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {CF}, f as (select *, coalesce(equipment_profile_id, '?') as rig, cast(date_obs_utc - interval 12 hours as date) as astro_day from cf where date_obs_utc is not null),
  g as (select *, case when epoch_us(date_obs_utc) - epoch_us(lag(date_obs_utc) over (partition by rig, astro_day order by date_obs_utc)) <= 14400000000 then 0 else 1 end as fresh from f),
  s as (select *, sum(fresh) over (partition by rig, astro_day order by date_obs_utc rows unbounded preceding) as n from g)
-select rig as equipment_profile_id, cast(astro_day as varchar) as astro_day, min(date_obs_utc) as started_at_utc, max(date_obs_utc) as ended_at_utc, count(*) as event_count, count(distinct target_id) as distinct_count from s group by rig, astro_day, n""")
+select rig as equipment_profile_id, cast(astro_day as varchar) as astro_day, epoch_us(min(date_obs_utc)) as started_at_utc, epoch_us(max(date_obs_utc)) as ended_at_utc, count(*) as event_count, count(distinct target_id) as distinct_count from s group by rig, astro_day, n""")
 def detect_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.detect_sessions(current(spark, d, "equipment_profile_id", "date_obs_utc", "target_id"))
+    return micros(analytics.detect_sessions(current(spark, d, "equipment_profile_id", "date_obs_utc", "target_id")))
 
 
 @query(None)
@@ -454,9 +459,9 @@ ENTITIES_SQL = """e as (select 'target' as entity_type, id as entity_id, trim(ca
  union all select 'alias', id || '#' || (k - 1), l[k], '' from (select id, l, unnest(range(1, len(l) + 1)) as k from (select id, from_json(catalog_ids_json, '["VARCHAR"]') as l from targets))
  union all select 'session', id, coalesce(session_date, ''), coalesce(notes, '') from sessions
  union all select 'filter', id, coalesce(raw_name, ''), coalesce(canonical_name, '') from filters),
- w as (select entity_type, entity_id, 'title' as "column", list_filter(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), x -> x <> '') as ws, 0 as at from e
-  union all select entity_type, entity_id, 'body', list_filter(regexp_split_to_array(strip_accents(lower(body)), '[^\\p{L}\\p{N}]+'), x -> x <> ''), 1000000 from e),
- p as (select entity_type, entity_id, "column", ws[k] as term, at + k - 1 as position from (select *, unnest(range(1, len(ws) + 1)) as k from w))"""
+ w as (select entity_type, entity_id, 'title' as "column", list_filter(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws, 0 as base from e
+  union all select entity_type, entity_id, 'body', list_filter(regexp_split_to_array(strip_accents(lower(body)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 1000000 from e),
+ p as (select entity_type, entity_id, "column", ws[k] as term, base + k - 1 as position from (select *, unnest(range(1, len(ws) + 1)) as k from w))"""
 
 
 @query(f"with {ENTITIES_SQL} select entity_type, entity_id, \"column\", term, cast(position as integer) as position from p")
@@ -555,9 +560,9 @@ def bench_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with r as (select id, updated_at, fwhm, session_id, object_raw from frames where id is not null)
-select id, max(updated_at) as updated_at, first(fwhm order by updated_at desc, fwhm desc) filter (where fwhm is not null) as fwhm, first(session_id order by updated_at desc, session_id desc) filter (where session_id is not null) as session_id, first(object_raw order by updated_at desc, object_raw desc) filter (where object_raw is not null) as object_raw from r group by 1""")
+select id, epoch_us(max(updated_at)) as updated_at, first(fwhm order by updated_at desc, fwhm desc) filter (where fwhm is not null) as fwhm, first(session_id order by updated_at desc, session_id desc) filter (where session_id is not null) as session_id, first(object_raw order by updated_at desc, object_raw desc) filter (where object_raw is not null) as object_raw from r group by 1""")
 def sync_lww(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.last_writer_wins(read_table(spark, d, "frames"), "id", "updated_at", ["fwhm", "session_id", "object_raw"])
+    return micros(rollups.last_writer_wins(read_table(spark, d, "frames"), "id", "updated_at", ["fwhm", "session_id", "object_raw"]))
 
 
 # ---- generator ----------------------------------------------------------------------------------------------------------------
@@ -582,15 +587,15 @@ def corrupt_indices(spark: SparkSession, d: str) -> DataFrame:
 # ---- streams ---------------------------------------------------------------------------------------------------------------
 
 
-DEBOUNCE_SQL = """with e as (select user_id as key, ts as at from events where user_id is not null and ts is not null),
- g as (select *, case when epoch_us(at) - epoch_us(lag(at) over (partition by key order by at)) <= 1800000000 then 0 else 1 end as fresh from e),
- s as (select *, sum(fresh) over (partition by key order by at rows unbounded preceding) as n from g)
-select key, min(at) as first_event, max(at) + interval 30 minutes as fired_at, count(*) as events from s group by key, n"""
+DEBOUNCE_SQL = """with e as (select user_id as key, ts as t from events where user_id is not null and ts is not null),
+ g as (select *, case when epoch_us(t) - epoch_us(lag(t) over (partition by key order by t)) <= 1800000000 then 0 else 1 end as fresh from e),
+ s as (select *, sum(fresh) over (partition by key order by t rows unbounded preceding) as n from g)
+select key, epoch_us(min(t)) as first_event, epoch_us(max(t)) + 1800000000 as fired_at, count(*) as events from s group by key, n"""
 
 
 @query(DEBOUNCE_SQL)
 def debounce_batches(spark: SparkSession, d: str) -> DataFrame:
-    return streams.debounce(read_table(spark, d, "events"), key="user_id", time="ts", quiet="30 minutes")
+    return micros(streams.debounce(read_table(spark, d, "events"), key="user_id", time="ts", quiet="30 minutes"))
 
 
 @query(None)

@@ -49,8 +49,9 @@ def pick(r: Column, weights: list[tuple[object, float]]) -> Column:
 
 def frames(index: DataFrame, *, seed: int, objects: list, filters: list, types: list, exposures: list, nights: int, start: str) -> DataFrame:
     """Frames for each `i` of `index(i)`: four draws a frame (object, filter, type, exposure), dealt over nights from 22:00."""
-    d = lambda k: draw(F.col("i") * 4 + k, seed)
-    f = index.select("i", pick(d(0), objects).alias("object"), pick(d(1), filters).alias("filter"), pick(d(2), types).alias("image_type"), pick(d(3), exposures).cast("double").alias("exposure_seconds"), (F.col("i") % nights).alias("night"))
+    # the draws are columns of their own, so that a pick compares a number and not the whole formula
+    drawn = index.select("i", *[draw(F.col("i") * 4 + k, seed).alias(f"d{k}") for k in range(4)])
+    f = drawn.select("i", pick(F.col("d0"), objects).alias("object"), pick(F.col("d1"), filters).alias("filter"), pick(F.col("d2"), types).alias("image_type"), pick(F.col("d3"), exposures).cast("double").alias("exposure_seconds"), (F.col("i") % nights).alias("night"))
     f = running_start(f, "night", "i", F.col("exposure_seconds") + GAP_SECONDS)
     first = F.to_timestamp(F.lit(f"{start} 22:00:00"))
     return f.withColumn("date_obs", F.timestamp_millis(F.unix_millis(first) + F.col("night") * 86_400_000 + (F.col("start_offset") * 1000).cast("bigint"))).drop("start_offset")
