@@ -63,7 +63,8 @@ def decode(raw: str, part: Part) -> str:
         return body
     if part.encoding == "base64":
         letters = re.sub(r"[^A-Za-z0-9+/]", "", body)
-        data = base64.b64decode(letters[: len(letters) - len(letters) % 4])
+        letters = letters[: len(letters) - (len(letters) % 4 == 1)]  # a lone letter is cut off text
+        data = base64.b64decode(letters + "=" * (-len(letters) % 4))
     else:
         data = quopri.decodestring(body.encode("utf-8", "replace"))
     try:
