@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skycatalog import schema
 from skycatalog.functions import scalar
 from skycatalog.operators import analytics, files, frames, jobs, rollups, search
+from skycatalog.session import ship_package
 from skycatalog.sources import headers
 from skycatalog.store import SnapshotStore
 
@@ -18,6 +19,7 @@ class Catalog:
     """Tables of a catalog below `root` (E8, Appendix B of the survey)."""
 
     def __init__(self, spark: SparkSession, root: str):
+        ship_package(spark)
         self.spark, self.store = spark, SnapshotStore(spark, root)
 
     def table(self, name: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,28 @@ def get_spark(app: str = "skycatalog", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that Python workers need no path of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):
+        return  # already running from a shipped archive
+    archive = os.path.join(tempfile.mkdtemp(prefix="skycatalog-"), "skycatalog.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("skycatalog", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
