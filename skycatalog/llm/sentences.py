@@ -132,6 +132,14 @@ def _capitals(text: str, at: int) -> bool:
     return len(word) > 1 and word.isupper()
 
 
+BRAND = re.compile(r"[^\w\s]*[a-z]{1,3}[A-Z]\w*")
+
+
+def _brand(text: str, at: int) -> bool:
+    """A name that keeps its small first letter at the start of a sentence, such as 'eMail'."""
+    return BRAND.match(text, at) is not None
+
+
 def _quoted_inside(text: str, at: int) -> bool:
     """True if the last quotation before `at` opened in the middle of a sentence."""
     opened = max(text.rfind(q, 0, at) for q in "\"«“„")
@@ -152,7 +160,7 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
         if ";" in mark and script_of(before) != "Grek":
             continue
         ch = _first_letter(text, end)
-        if not ch or ch.islower() or ")" in m["close"]:
+        if not ch or (ch.islower() and not _brand(text, end)) or ")" in m["close"]:
             continue
         if text[end] in CLOSERS and text[end] not in OPENERS:
             continue
@@ -166,7 +174,7 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
         right = re.match(r"\S+", text[end:])[0].lstrip(OPENERS)
         follow = re.match(r"\w+", right)
         nxt = (follow[0] if follow else right)[:40]
-        shape = "d" if ch.isdigit() else "U" if ch.isupper() else "n"
+        shape = "d" if ch.isdigit() else "U" if ch.isupper() or ch.islower() else "n"
         if shape == "U" and len(nxt) > 1 and nxt.isupper() and word.isupper():
             shape = "C"  # in capitals throughout, the case of the next word tells nothing
         if len(nxt) == 1 and nxt.isalpha() and right[1:2] == ".":
@@ -193,7 +201,7 @@ def _count(text: str, lang: str, counts: Counter) -> None:
         dot = core.endswith(".") and not core.endswith("..")
         core = core.rstrip(".")
         if core and (core[0].isalpha() or core[-1].isalpha() or core.isdigit()) and len(core) <= 40 and not WIDE_TEXT.search(core):
-            lower = core[0].islower()
+            lower = core[0].islower() and not BRAND.match(core)
             counts[lang, script_of(core[0]), core.lower(), dot, lower, core[0].isupper() and not fresh] += 1
         fresh = w[-1] in ".!?…:;\"»”" or w[-1] in CLOSERS
 
@@ -267,7 +275,7 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     uses = period.groupBy("lang", "script", "tok", "word", "nxt", "shape").agg(F.count(F.lit(1)).alias("n"))
     uses = uses.join(own, ["lang", "script", "tok"], "left").join(pooled, ["script", "tok"], "left")
     initial = F.col("tok").rlike(r"^\p{L}(?:\.\p{L})*$")
-    uses = uses.withColumn("abbr", F.coalesce("own", "pooled", F.lit(False)) | initial).drop("own", "pooled")
+    uses = uses.withColumn("abbr", F.coalesce("own", "pooled", F.lit(False)) | initial).withColumn("own", F.coalesce("own", F.lit(False))).drop("pooled")
 
     # orthography of the next word: in its language, else in its script
     ortho = words.groupBy("lang", F.col("tok").alias("key")).agg(F.sum("upper_mid").alias("um"), F.sum("lower").alias("lo"))
@@ -276,12 +284,13 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     local = F.coalesce(F.col("um"), F.lit(0)) + F.coalesce(F.col("lo"), F.lit(0)) > 0
     um, lo = F.when(local, F.col("um")).otherwise(F.coalesce("um_all", F.lit(0))), F.when(local, F.col("lo")).otherwise(F.coalesce("lo_all", F.lit(0)))
     u = u.withColumn("open", F.when(um + lo == 0, None).otherwise(lo > um))
-    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "abbr", "open"))
+    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "own", "abbr", "open"))
 
-    # what follows an abbreviation: its own tendency, in the language, else in the script
+    # what follows an abbreviation: its own tendency, in the language, else in those of the script where it was learned as one
     upper = u.where("shape = 'U'")
-    known = upper.where("abbr and open is not null").groupBy("lang", "script", "tok").agg(F.sum("n").alias("known"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opens"))
-    known_all = known.groupBy("script", "tok").agg(F.sum("known").alias("known_all"), F.sum("opens").alias("opens_all"))
+    known = upper.where("abbr and open is not null").groupBy("lang", "script", "tok", "own").agg(F.sum("n").alias("known"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opens"))
+    known_all = known.where("own").groupBy("script", "tok").agg(F.sum("known").alias("known_all"), F.sum("opens").alias("opens_all"))
+    known = known.drop("own")
     tends = F.when(F.col("known") >= TENDENCY_MIN, F.col("opens") > 0.5 * F.col("known")).when(F.col("known_all") >= TENDENCY_MIN, F.col("opens_all") > 0.5 * F.col("known_all"))
     # sentence starters: words that follow sure ends more than their share; collocations: words that go with this abbreviation
     ended = F.when(~F.col("abbr"), F.col("n")).otherwise(0)
