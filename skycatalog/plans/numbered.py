@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycatalog.operators import nearest_time, schema_drift, sessions, spikes, timestamps
-from skycatalog.session import read_table, squeeze
+from skycatalog.session import read_table, squeeze, without_blanks
 
 DARK_TOLERANCE_S = 36 * 3600
 DARK_TEMP_BAND = 2.0
@@ -49,7 +49,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = nearest_time.nearest_in_time(
         frames.where("frame_type = 'light'"),
         frames.where("frame_type = 'dark'"),
-        by={"camera": squeeze("camera_raw"), "exposure": F.col("exposure_seconds")},
+        by={"camera": without_blanks("camera_raw"), "exposure": F.col("exposure_seconds")},
         left_id="id",
         right_id="id",
         time="date_obs_utc",
@@ -70,7 +70,7 @@ READINGS = [
 
 
 def p4_readings(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.score_readings(read_table(spark, d, "frames"), source=squeeze("camera_raw"), time="date_obs_utc", row_id="id", fields=READINGS)
+    return spikes.score_readings(read_table(spark, d, "frames"), source=without_blanks("camera_raw"), time="date_obs_utc", row_id="id", fields=READINGS)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ _CAMERA = r"trim(regexp_replace(lower(camera_raw), '\s+', ' ', 'g'))"
 
 ORACLE: dict[str, str] = {
     "p1_found": rf"""
-with f as (select distinct id, frame_type, {_CAMERA} as camera, exposure_seconds as e, cast(round(ccd_temp * 100) as bigint) as v, date_obs_utc as t
+with f as (select distinct id, frame_type, nullif(regexp_replace(lower(camera_raw), '\s+', '', 'g'), '') as camera, exposure_seconds as e, cast(round(ccd_temp * 100) as bigint) as v, date_obs_utc as t
            from frames where id is not null and camera_raw is not null and exposure_seconds is not null and ccd_temp is not null and date_obs_utc is not null),
      p as (select l.id as light_id, r.id as dark_id, row_number() over (partition by l.id order by abs(epoch_us(l.t) - epoch_us(r.t)), r.t, r.id) as k
            from f l join f r on l.camera = r.camera and l.e = r.e and abs(l.v - r.v) <= 200 and abs(epoch_us(l.t) - epoch_us(r.t)) <= 129600000000

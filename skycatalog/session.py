@@ -93,3 +93,9 @@ def squeeze(c: Column | str) -> Column:
     """Lower case, trimmed, inner runs of white space a single blank."""
     c = F.col(c) if isinstance(c, str) else c
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+def without_blanks(c: Column | str) -> Column:
+    """Lower case without any white space: equal for spellings that differ in case and blanks."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.nullif(F.regexp_replace(F.lower(c), r"(?U)\s+", ""), F.lit(""))
