@@ -122,6 +122,15 @@ def test_drift_changes(spark):
     }
 
 
+def test_two_renames_at_once_are_told_apart(spark):
+    files = [
+        ("f1", lines(bin=1, off="50.0", headers=lambda i: {"XBIN": 1, "TEL": "Orrery"})),
+        ("f2", lines(xb=1, black="50.0", headers=lambda i: {"CCDXB": 1, "OTA": "Orrery"})),
+    ]
+    _, got = drift(spark, files)
+    assert got == {("f2", "bin", "renamed", "xb"), ("f2", "off", "renamed", "black"), ("f2", "headers.XBIN", "renamed", "headers.CCDXB"), ("f2", "headers.TEL", "renamed", "headers.OTA")}
+
+
 def test_drift_odd_input(spark):
     files = [("f1", ["{bad", "[1]", "null", ""]), ("f2", [{"a": None}, {"a": None}]), ("f3", [{"a": 1}, {"a": "x"}, {"a": 2}]), ("f4", [{"a": None, "b": {}}, {"b": {"c": 1}}])]
     _, got = drift(spark, files)
