@@ -19,8 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skycatalog.session import cut_lineage
+
 #: Reference entries of a shard's tree.
 SHARD_ENTRIES = 20_000
+#: Distinct values of a block (expected).
+BLOCK_VALUES = 50_000
 UNMATCHED = "unmatched"
 
 
@@ -209,14 +213,14 @@ def canonical_map(values: DataFrame, reference: DataFrame, blocks: int | None =
     name first by order.  NULL and blank values and NULL entries take no part; an empty reference leaves all unmatched.
     """
     spark = values.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cut_lineage(values.select("domain", "value").where(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "").distinct())
+    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // BLOCK_VALUES))
     ref = reference.select("domain", "kind", "entry", "canonical").where("entry is not null and canonical is not null").distinct()
     shards = max(1, -(-ref.count() // SHARD_ENTRIES))
     pieces = ref.withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(shards)).cast("int"))
     prefix = ref.where("kind = 'id'").select("domain", F.lit("prefix").alias("kind"), F.regexp_extract("entry", r"^\s*([A-Za-z]+)", 1).alias("entry"), F.lit("").alias("canonical"))
     prefix = prefix.distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pieces = pieces.unionByName(prefix).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    distinct = values.select("domain", "value").where(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "").distinct()
     spread = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["domain", "shard", "block"]
     # a fixed number of partitions: values are few bytes but long work, so they must not be coalesced
