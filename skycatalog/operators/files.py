@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["watch_folder_id", "relative_path"]
@@ -99,7 +99,10 @@ def scan_counters(upserted: DataFrame, errors: Column) -> DataFrame:
     )
 
 
-def latest_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by `order`: keep-latest of an upsert by natural key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def latest_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the greatest `order` columns: keep-latest of an upsert by natural key.
+
+    An aggregation with a map-side part, so that a hot key is no window of its own.
+    """
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])

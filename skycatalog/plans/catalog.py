@@ -502,12 +502,9 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
 JOBS_SQL = "j as (select o_orderkey as id, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'completed' end as status, 6 - cast(o_orderpriority[1] as integer) as priority, o_orderdate as created_at from orders)"
 
 
-@query(f"with {JOBS_SQL} select id, priority, created_at, row_number() over (partition by priority order by created_at, id) as place from j where status = 'queued'")
+@query(f"with {JOBS_SQL} select id, priority, created_at from j where status = 'queued'")
 def queue_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("priority").orderBy("created_at", "id")
-    return _jobs(spark, d).where("status = 'queued'").select("id", "priority", "created_at", F.row_number().over(w).cast("bigint").alias("place"))
+    return _jobs(spark, d).where("status = 'queued'").orderBy(*jobs.queue_order()).select("id", "priority", "created_at")
 
 
 @query(f"with {JOBS_SQL}, c as (select id from j where status = 'queued' order by priority desc, created_at, id limit 1) select id, case when id in (select id from c) then 'running' else status end as status, case when id in (select id from c) then 'w1' end as worker_id from j")
@@ -540,7 +537,7 @@ def patch_update(spark: SparkSession, d: str) -> DataFrame:
 @query("with s as (select user_id as key, props as value_json, ts, event_id from events where user_id is not null) select key, first(value_json order by ts desc, event_id desc) as value_json from s group by 1")
 def settings_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("props").alias("value_json"), "ts", "event_id").where("key is not null")
-    return files.latest_by(e, ["key"], [F.desc("ts"), F.desc("event_id")]).select("key", "value_json")
+    return files.latest_by(e, ["key"], ["ts", "event_id"]).select("key", "value_json")
 
 
 @query("select o_orderkey as id, 'scan' as job_type, cast(null as varchar) as payload_json, 0 as priority, o_orderdate as created_at from orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skycatalog.functions.timestamps import NAMED_OFFSETS
 from skycatalog.operators import nearest_time, schema_drift, sessions, spikes, timestamps
 from skycatalog.session import read_table, squeeze, without_blanks
 
@@ -110,9 +111,40 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_uniform": p3_uniform, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_status": p5_status, "p6_found": p6_found}
 
+_NAMED = " ".join(f"when '{k}' then {v}" for k, v in NAMED_OFFSETS.items())
+
+
+def _offset_sql(c: str) -> str:
+    """Minutes east of UTC of a written offset."""
+    m = "^(?:utc|gmt)?([+-])(\\d{1,2})(?::?(\\d{2}))?$"
+    g = lambda i: f"regexp_extract(lower(trim({c})), '{m}', {i})"
+    ok = f"regexp_matches(lower(trim({c})), '{m}') and cast({g(2)} as int) <= 14 and coalesce(try_cast({g(3)} as int), 0) < 60"
+    return f"(case when {ok} then (case {g(1)} when '-' then -1 else 1 end) * (cast({g(2)} as int) * 60 + coalesce(try_cast({g(3)} as int), 0)) else case lower(trim({c})) {_NAMED} end end)"
+
+
+_ZONE = "\\s*(Z|z|[A-Za-z]{3,5}|(?:UTC|GMT)?[+-]\\d{1,2}(?::?\\d{2})?)?$"
+_CLOCK = "(\\d{2}):(\\d{2})(?::(\\d{2})(?:\\.\\d*)?)?"
+_ISO = f"^(\\d{{4}})[-:/](\\d{{2}})[-:/](\\d{{2}})[T ]\\s*{_CLOCK}{_ZONE}"
+_SLASH = f"^(\\d{{2}})/(\\d{{2}})/(\\d{{4}}) \\s*{_CLOCK}{_ZONE}"
+_P5_SQL = f"""with r as (select record_id, lower(file_ext) in ('fits', 'xisf') as plain, trim(case when lower(file_ext) in ('fits', 'xisf') or coalesce(trim(date_time_original), '') = '' then date_obs else date_time_original end) as t,
+   case when lower(file_ext) not in ('fits', 'xisf') then offset_time_original end as o, case when lower(file_ext) not in ('fits', 'xisf') then site_zone end as z from raw_keywords),
+ n as (select *, case when regexp_matches(t, '{_ISO}') then replace(regexp_replace(t, '{_ISO}', '\\1-\\2-\\3 \\4:\\5:\\6|\\7'), ':|', ':00|')
+   when regexp_matches(t, '{_SLASH}') then replace(regexp_replace(t, '{_SLASH}', case when cast(t[1:2] as int) > 12 then '\\3-\\2-\\1' else '\\3-\\1-\\2' end || ' \\4:\\5:\\6|\\7'), ':|', ':00|')
+   when regexp_matches(t, '^[A-Z][a-z]{{2}} \\d{{1,2}} \\d{{4}} [\\d:]+ [AP]M$') then strftime(try_strptime(t, '%b %d %Y %I:%M:%S %p'), '%Y-%m-%d %H:%M:%S') || '|'
+   when regexp_matches(t, '^\\d{{1,2}}-[A-Z][a-z]{{2}}-\\d{{4}} [\\d:]+') then strftime(try_strptime(t[1:20], '%d-%b-%Y %H:%M:%S'), '%Y-%m-%d %H:%M:%S') || '|' || trim(t[21:])
+   when regexp_matches(t, '^\\d{{8}}T\\d{{6}}Z?$') then strftime(try_strptime(t[1:15], '%Y%m%dT%H%M%S'), '%Y-%m-%d %H:%M:%S') || '|' || t[16:] end as w from r),
+ v as (select *, case when regexp_matches(t, '^\\d{{9,10}}$') then cast(t as bigint) when regexp_matches(t, '^\\d{{12,13}}$') then cast(t as bigint) // 1000
+    when regexp_matches(t, '^JD \\d{{7}}[.\\d]*$') then cast(floor((cast(t[4:] as decimal(25, 12)) - 2440587.5::decimal(25, 12)) * 86400 + 0.00044) as bigint) end as direct,
+   cast(epoch(try_strptime(split_part(w, '|', 1), '%Y-%m-%d %H:%M:%S')) as bigint) as wall, nullif(split_part(w, '|', 2), '') as zt from n),
+ f as (select *, case when zt is not null then {_offset_sql('zt')} else coalesce({_offset_sql('o')}, case when plain then 0 end) end as m from v),
+ c as (select *, case when m is null and zt is null and wall is not null and z is not null then list_distinct([wall - cast(epoch(timezone(z, to_timestamp(wall - 86400))) - (wall - 86400) as bigint), wall - cast(epoch(timezone(z, to_timestamp(wall + 86400))) - (wall + 86400) as bigint)]) end as cand from f),
+ d as (select *, list_filter(cand, lambda u: cast(epoch(timezone(z, to_timestamp(u))) as bigint) = wall) as fit from c)
+select record_id, coalesce(direct, wall - m * 60, case when len(fit) = 1 then fit[1] end) as utc_seconds from d where coalesce(direct, wall - m * 60, case when len(fit) = 1 then fit[1] end) is not null"""
+
 _CAMERA = r"trim(regexp_replace(lower(camera_raw), '\s+', ' ', 'g'))"
 
 ORACLE: dict[str, str] = {
+    "p5_found": _P5_SQL,
     "p1_found": rf"""
 with f as (select distinct id, frame_type, nullif(regexp_replace(lower(camera_raw), '\s+', '', 'g'), '') as camera, exposure_seconds as e, cast(round(ccd_temp * 100) as bigint) as v, date_obs_utc as t
            from frames where id is not null and camera_raw is not null and exposure_seconds is not null and ccd_temp is not null and date_obs_utc is not null),
