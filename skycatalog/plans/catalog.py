@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycatalog.functions import rules, scalar, sqludf
-from skycatalog.operators import analytics, files, frames, jobs, rollups, search
+from skycatalog.operators import analytics, export, files, frames, jobs, rollups, search
 from skycatalog.schema import violations
 from skycatalog.session import cut_lineage, ensure_checkpoint_dir, one_row_per_id, read_table
 from skycatalog.sources import generator, headers
@@ -606,3 +606,20 @@ def debounce_stream(spark: SparkSession, d: str) -> DataFrame:
     q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+# ---- facets and exports ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {CF} select target_id, count(*) as frame_count, round(sum(exposure_seconds), 3) as total_seconds, epoch_us(max(date_obs_utc)) as last_imaged from cf
+where target_id is not null and frame_type in ('light', 'flat') and date_obs_utc >= timestamptz '2026-03-01 00:00:00+00' and file_id in (select id from files where status <> 'missing') group by 1 having round(sum(exposure_seconds), 3) >= 3600""")
+def faceted_targets(spark: SparkSession, d: str) -> DataFrame:
+    f = current(spark, d, "target_id", "frame_type", "file_id", "filter_id", "equipment_profile_id", "exposure_seconds", "date_obs_utc")
+    return micros(export.facets(f, types=["light", "flat"], since="2026-03-01 00:00:00", least_seconds=3600, present_files=read_table(spark, d, "files")))
+
+
+@query("select id, true as valid, true as in_order from files where created_at is not null")
+def time_ordered_ids(spark: SparkSession, d: str) -> DataFrame:
+    f = read_table(spark, d, "files").where("created_at is not null").select("id", "created_at").withColumn("new_id", export.uuidv7(F.col("created_at")))
+    ms = F.conv(F.replace(F.substring("new_id", 1, 13), F.lit("-"), F.lit("")), 16, 10).cast("bigint")
+    return f.select("id", scalar.is_uuid(F.col("new_id")).alias("valid"), (ms == F.unix_millis("created_at")).alias("in_order"))

@@ -247,3 +247,36 @@ def test_scan_rescan_and_hash(spark, tmp_path):
     cat.set_setting("k", {"a": [1]})
     cat.set_setting("k", 5)
     assert cat.setting("k").first()[0].toJson() == "5" if hasattr(cat.setting("k").first()[0], "toJson") else cat.table("settings").count() == 1
+
+
+def test_exports_facets_and_provenance(spark, tmp_path):
+    from skycatalog.functions.scalar import is_uuid
+    from skycatalog.operators import export
+
+    df = spark.createDataFrame([("1", 'a "q", b', None), ("2", "ü", 5)], "id string, name string, n int").coalesce(1)
+    export.export_csv(df, str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_bytes()
+    assert text.startswith(b"\xef\xbb\xbfid,name,n") and b'"a ""q"", b"' in text
+    with pytest.raises(Exception, match="exists"):
+        export.export_csv(df, str(tmp_path / "csv"))
+    export.export_json(df, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+    ids = spark.range(50).select(export.uuidv7(F.timestamp_millis(F.col("id") + 1_700_000_000_000)).alias("u"), "id")
+    rows = ids.withColumn("ok", is_uuid(F.col("u"))).orderBy("id").collect()
+    assert all(r.ok for r in rows) and [r.u for r in rows] == sorted(r.u for r in rows) and len({r.u for r in rows}) == 50
+
+    (tmp_path / "b.json").write_text('{"recordedAt": "2026-01-01T00:00:00Z", "metrics": [{"name": "a", "unit": "s", "value": 2.0, "samples": [1.0]}]}')
+    assert [tuple(r) for r in export.read_baseline(spark, str(tmp_path / "b.json")).collect()] == [("a", "s", 2.0)]
+    (tmp_path / "bad.json").write_text('{"metrics": [{"name": "a", "value": -1.0}]}')
+    with pytest.raises(Exception, match="bad metric"):
+        export.read_baseline(spark, str(tmp_path / "bad.json")).collect()
+
+    t = lambda rows_, s: spark.createDataFrame(rows_, s)
+    got = export.trace_back(
+        t([("im", "p", True), ("draft", "p", False)], "id string, project_id string, is_final boolean"), t([("p",)], "id string"),
+        t([("p", "f1", None), ("p", None, "m1")], "project_id string, frame_id string, master_frame_id string"), t([("f1",), ("f2",), ("f3",)], "id string"),
+        t([("m1",)], "id string"), t([("m1", "f2"), ("m1", "gone")], "master_frame_id string, frame_id string"),
+    )
+    assert sorted((r.image_id, r.frame_id, r.via) for r in got.collect()) == [("im", "f1", "input"), ("im", "f2", "master")]
+    assert [r.id for r in export.page(spark.range(10), [F.col("id")], 3, 2).collect()] == [3, 4]
