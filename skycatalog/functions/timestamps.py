@@ -83,16 +83,19 @@ def _zone_names() -> tuple[str, ...]:
     return tuple(sorted(z for z in ids if "/" in z or z in ("UTC", "GMT")))
 
 
+def known_zone(zone: Column) -> Column:
+    """The zone, NULL if Spark does not know it."""
+    return F.when(zone.isin(*_zone_names()), zone)
+
+
 def wall_to_utc(wall_s: Column, zone: Column) -> Column:
-    """UTC second of a wall clock in an IANA zone; NULL where the zone's clocks show it never or twice, or the zone is unknown.
+    """UTC second of a wall clock in a known IANA zone; NULL where the zone's clocks show it never or twice, or the zone is NULL.
 
     Offsets a day before and after bracket any change of the zone; a candidate holds if it shows the same wall clock.
     """
-    known = zone.isin(*_zone_names())
-    z = F.when(known, zone).otherwise(F.lit("UTC"))
-    shown = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), z))
+    shown = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), zone))
     before, after = wall_s - 86400, wall_s + 86400
     a = wall_s - (shown(before) - before)
     b = wall_s - (shown(after) - after)
-    fits = F.array_distinct(F.filter(F.array(a, b), lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u), z)) == wall_s))
-    return F.when(known & wall_s.isNotNull() & (F.size(fits) == 1), F.try_element_at(fits, F.lit(1)))
+    fits = F.array_distinct(F.filter(F.array(a, b), lambda u: shown(u) == wall_s))
+    return F.when(F.size(fits) == 1, F.try_element_at(fits, F.lit(1)))

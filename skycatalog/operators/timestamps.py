@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skycatalog.functions.timestamps import offset_minutes, readings, wall_to_utc
+from skycatalog.functions.timestamps import known_zone, offset_minutes, readings, wall_to_utc
+from skycatalog.session import cut_lineage
 
 EM_ROUNDS = 30
 #: Weight of the even prior over formats in each source, in values.
@@ -44,10 +45,10 @@ def _em(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "signature", "best_format", "posterior"])
 
 
-def format_posteriors(values: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, signature, best_format, posterior) of each candidate set of each source."""
-    cand = values.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.transform(readings(F.col(text)), lambda r: r["format"]).alias("formats"))
-    counts = cand.where(F.size("formats") > 0).groupBy("source", "formats").agg(F.count(F.lit(1)).alias("n"))
+def format_posteriors(candidates: DataFrame) -> DataFrame:
+    """(source, signature, best_format, posterior) of each candidate set of each source, from `candidates(source, cand)`."""
+    formats = candidates.select("source", F.transform("cand", lambda r: r["format"]).alias("formats"))
+    counts = formats.where(F.size("formats") > 0).groupBy("source", "formats").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("source").applyInPandas(_em, "source string, signature string, best_format string, posterior double")
 
 
@@ -71,13 +72,14 @@ def normalise_instants(
     v = rows.select(
         F.col(record_id).alias("record_id"), F.coalesce(source, F.lit("")).alias("source"), text.alias("text"), offset.alias("offset"), zone.alias("zone"), F.coalesce(zoneless_is_utc, F.lit(False)).alias("as_utc")
     )
-    post = format_posteriors(v, "source", "text")
-    v = v.withColumn("cand", readings(F.col("text"))).withColumn("signature", F.array_join(F.transform("cand", lambda r: r["format"]), "|"))
+    v = cut_lineage(v.withColumn("cand", readings(F.col("text"))).withColumn("iana", known_zone(F.col("zone"))).drop("text"))  # each text is read once
+    post = format_posteriors(v)
+    v = v.withColumn("signature", F.array_join(F.transform("cand", lambda r: r["format"]), "|"))
     j = v.join(post.withColumnRenamed("source", "p_source").withColumnRenamed("signature", "p_signature"), (F.col("source") == F.col("p_source")) & (F.col("signature") == F.col("p_signature")), "left")
     j = j.withColumn("pick", F.when(F.col("posterior") >= CONFIDENT, F.filter("cand", lambda r: r["format"] == F.col("best_format"))[0]))
     named = F.col("pick.zone").isNotNull()
     fixed = F.when(named, offset_minutes(F.col("pick.zone"))).otherwise(F.coalesce(offset_minutes(F.col("offset")), F.when(F.col("as_utc"), F.lit(0))))
-    utc = F.when(fixed.isNotNull(), F.col("pick.wall_s") - fixed * 60).when(~named, wall_to_utc(F.col("pick.wall_s"), F.col("zone")))
+    utc = F.when(fixed.isNotNull(), F.col("pick.wall_s") - fixed * 60).when(~named, wall_to_utc(F.col("pick.wall_s"), F.col("iana")))
     j = j.withColumn("utc_seconds", utc)
     status = (
         F.when(F.size("cand") == 0, "unparsed")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skycatalog.functions import scalar, sqludf
-from skycatalog.functions.timestamps import readings, wall_to_utc
+from skycatalog.functions.timestamps import known_zone, readings, wall_to_utc
 
 IMAGE_TYPES = {
     "light": ["LIGHT", "Light", "light", " LIGHT ", "Light Frame", "LIGHTFRAME", "Light_Frame", "light-frame", "'LIGHT'", "' Light Frame '"],
@@ -114,7 +114,7 @@ def test_wall_clock(spark):
 
     def utc(text, zone):
         s = int(dt.datetime.fromisoformat(text).replace(tzinfo=dt.UTC).timestamp())
-        got = spark.createDataFrame([(s, zone)], "s long, z string").select(wall_to_utc(F.col("s"), F.col("z"))).first()[0]
+        got = spark.createDataFrame([(s, zone)], "s long, z string").select(wall_to_utc(F.col("s"), known_zone(F.col("z")))).first()[0]
         return None if got is None else dt.datetime.fromtimestamp(got, dt.UTC).strftime("%Y-%m-%d %H:%M")
 
     assert utc("2026-07-01 12:00", "Europe/Madrid") == "2026-07-01 10:00"
