@@ -33,7 +33,7 @@ ATTRIBUTION = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió|написа
 HEADER_FIELD = re.compile(r"(?:From|To|Cc|Bcc|Date|Sent|Subject|Reply-To|Received|Message-ID|References|In-Reply-To|MIME-Version|Content-[\w-]+|X-[\w-]+):\s", re.I)
 OPENERS, CLOSERS = "\"'«“„‘‚(¿¡「『（《[", "\"'»”’“)」』）》]"
 PAIRS = {"”": "“", "」": "「", "』": "『", "）": "（", "》": "《"}
-LATIN_END = re.compile(r"(?P<mark>[.!?…؟۔।;]+)(?P<close>[\"'»”’“)\]]*)(?P<gap>\s+)")
+LATIN_END = re.compile(r"(?P<mark>[.!?…؟۔।;]+)(?P<close>\s»|[\"'»”’“)\]]*)(?P<gap>\s+)")
 WIDE = re.compile(r"[。！？…“”「」『』（）《》]")
 WIDE_TEXT = re.compile(r"[぀-ヿ㐀-鿿！-｠。、]")
 THAI_GAP = re.compile(r"\s+")
@@ -165,7 +165,8 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
         if text[end] in CLOSERS and text[end] not in OPENERS:
             continue
         if mark != ".":
-            if m["close"] and ch.isupper() and _capitals(text, end) and _quoted_inside(text, at):
+            apart = m["close"][:1].isspace()  # French sets its quotation marks apart
+            if m["close"] and ch.isupper() and (apart or _capitals(text, end)) and _quoted_inside(text, at):
                 continue
             yield end, "sure", "", ""
             continue

@@ -243,6 +243,7 @@ def test_sentences_of_a_learned_language(spark):
         ("¡Sí! ¿Mide hoy «¡Sí!» luego? «Vacío.» Norte", ["¿Mide", "«Vacío", "Norte"]),
         ("وصل الجديد؟ قاس السوق. طلب", ["قاس", "طلب"]),
         ("A 😀 dome. Kettle", ["Kettle"]),
+        ("« Oui ! » Second pont « Oui ! » Orsel vient ! Après", ["Second", "Après"]),
         ("One dome. iKiln closed! said nobody. two", ["iKiln"]),
     ],
 )
