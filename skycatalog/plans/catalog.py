@@ -231,7 +231,7 @@ def reparent_moved(spark: SparkSession, d: str) -> DataFrame:
     return files.reparent(lost, moves, found).select("id", "relative_path", "status")
 
 
-@query("select coalesce(nullif(lower(regexp_extract(filename, '^.+\\.([^.]+)$', 1)), ''), '') as extension, case when extension in ('fits', 'fit', 'fts') then 'fits' when extension = 'xisf' then 'xisf' when extension in ('cr2', 'cr3', 'nef', 'arw', 'dng') then 'raw' end as format, count(*) as n, sum(size_bytes) as bytes from files group by 1, 2".replace("case when extension in", "case when files.extension in").replace("when extension =", "when files.extension =").replace("when extension in ('cr2'", "when files.extension in ('cr2'"))
+@query("select coalesce(nullif(lower(regexp_extract(filename, '^.+\\.([^.]+)$', 1)), ''), '') as extension, case when extension in ('fits', 'fit', 'fts') then 'fits' when extension = 'xisf' then 'xisf' when extension in ('cr2', 'cr3', 'nef', 'arw', 'dng') then 'raw' end as format, count(*) as n, cast(sum(size_bytes) as bigint) as bytes from files group by 1, 2".replace("case when extension in", "case when files.extension in").replace("when extension =", "when files.extension =").replace("when extension in ('cr2'", "when files.extension in ('cr2'"))
 def extension_formats(spark: SparkSession, d: str) -> DataFrame:
     e = scalar.extension_of(F.col("filename"))
     return read_table(spark, d, "files").groupBy(F.coalesce(e, F.lit("")).alias("extension"), scalar.format_of(F.col("extension")).alias("format")).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
