@@ -56,7 +56,12 @@ def _reading(text: Column, name: str, pattern: str, kinds: str) -> Column:
         half = F.lower(g["p"])
         hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
     sec = F.coalesce(num(g["s"]), F.lit(0))
-    day = F.try_to_timestamp(F.concat_ws("-", F.lpad(g["y"], 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(g["d"], 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    # the month's length by arithmetic: failures of a date parser are slow
+    year, dom = num(g["y"]), num(g["d"])
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    length = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    real = month.between(1, 12) & (dom >= 1) & (dom <= length) & (year >= 1)
+    day = F.when(real, F.make_date(year, month, dom))
     wall = F.unix_date(day).cast("bigint") * 86400 + hour * 3600 + num(g["i"]) * 60 + sec
     ok = (text.rlike(pattern)) & (num(g["y"]) >= 1) & (hour < 24) & (num(g["i"]) < 60) & (sec < 60) & wall.isNotNull()
     zone = F.nullif(g["z"], F.lit("")) if "z" in g else F.lit(None).cast("string")
