@@ -157,6 +157,22 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert set(find(spark, docs, items, verbatim_only=True)) == want
 
 
+def test_leaks_with_an_unseen_name_and_decimals(spark):
+    item = "Before the storm Anna poured 3.5 litres into kettles and Anna sealed them while 1,200 guests waited near the harbour for Anna to finish"
+    doc = item.replace("Anna", "Zoltan").replace("3.5", "4").replace("1,200", "90")
+    a, b = item.split(), doc.split()
+    assert all(a[i : i + 12] != b[i : i + 12] for i in range(len(a) - 11))
+    got = find(spark, [mail(doc), mail(item.replace("3.5", "3,5")), mail(item.replace("kettles", "buckets").replace("guests", "people"))], (item,))
+    assert got == {(0, 0): ("reparameterised", len(a)), (1, 0): ("verbatim", len(a))}
+
+
+def test_leaks_exchanged_words_are_names(spark):
+    item = "Then we all saw the old kettles near the harbour and Then we left the harbour again with Velmar before noon"
+    docs = [item.replace("Then", "Soon"), item.replace("Velmar", "Zoltan"), "soon then soon then soon then", item.replace("Velmar", "Osmere").lower()]
+    got = find(spark, docs, (item, "We met Osmere there"))
+    assert {k: v[0] for k, v in got.items()} == {(1, 0): "verbatim", (3, 0): "verbatim"} and got[(1, 0)][1] == len(item.split())
+
+
 # ---- mixing
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER_PATH), reason="no public tokenizer here")
