@@ -16,8 +16,6 @@ from skycatalog.session import cut_lineage
 
 #: Least evidence (0..1) for a removed and an added field to be one renamed field.
 RENAME_EVIDENCE = 0.5
-#: Distinct leaf values kept of a field of a file as evidence of what it carries (smallest hashes first).
-VALUE_SKETCH = 64
 NESTED = "headers"
 
 LEAF_OF_OBJECT = ("value", "val", "v")
@@ -143,13 +141,19 @@ def _renames(pv: DataFrame, changes: DataFrame) -> DataFrame:
         other,
         (F.col("source") == F.col("o_source")) & (F.col("at_file") == F.col("o_file")) & (F.col("line") == F.col("o_line")) & (F.col("leaf") == F.col("o_leaf")) & (_level(F.col("path")) != _level(F.col("mirror"))),
     )
-    size = mine.groupBy("source", "file", "path", "side").agg(F.countDistinct("line").alias("lines"), F.slice(F.array_sort(F.collect_set("leaf")), 1, VALUE_SKETCH).alias("leaves"))
+    size = mine.groupBy("source", "file", "path", "side").agg(F.countDistinct("line").alias("lines"), F.countDistinct("leaf").alias("own"))
     mirrors = hits.groupBy("source", "file", "path", "side", "mirror").agg(F.countDistinct("line").alias("hit"))
     share = mirrors.join(size, ["source", "file", "path", "side"]).select("source", "file", "path", "side", "mirror", (F.col("hit") / F.col("lines")).alias("share"))
     profile = share.groupBy("source", "file", "path", "side").agg(F.map_from_entries(F.collect_list(F.struct("mirror", "share"))).alias("mirrors"))
     prof = cut_lineage(size.join(profile, ["source", "file", "path", "side"], "left"))
-    took = lambda side, path: prof.where(F.col("side") == side).select("source", "file", F.col("path").alias(path), F.col("leaves").alias(f"{side}_leaves"), F.col("mirrors").alias(f"{side}_mirrors"))
+    took = lambda side, path: prof.where(F.col("side") == side).select("source", "file", F.col("path").alias(path), F.col("own").alias(f"{side}_own"), F.col("mirrors").alias(f"{side}_mirrors"))
     p = pairs.join(took("old", "old_path"), ["source", "file", "old_path"]).join(took("new", "new_path"), ["source", "file", "new_path"])
+    # the values that both fields of a pair carry, counted exactly
+    leaves = cut_lineage(mine.select("source", "file", "path", "side", "leaf").distinct())
+    carried = lambda side, path: leaves.where(F.col("side") == side).select("source", "file", F.col("path").alias(path), "leaf")
+    held = pairs.select("source", "file", "old_path", "new_path").join(carried("old", "old_path"), ["source", "file", "old_path"])
+    common = held.join(carried("new", "new_path"), ["source", "file", "new_path", "leaf"]).groupBy("source", "file", "old_path", "new_path").agg(F.count(F.lit(1)).alias("common"))
+    p = p.join(common, ["source", "file", "old_path", "new_path"], "left")
     # a mirror that was itself removed or added stands for its level's counterpart
     gone = went.groupBy("source", "file").agg(F.collect_set("old_path").alias("gone"))
     born = came.groupBy("source", "file").agg(F.collect_set("new_path").alias("born"))
@@ -160,7 +164,7 @@ def _renames(pv: DataFrame, changes: DataFrame) -> DataFrame:
     lost = F.array_max(F.transform(F.filter(F.map_keys(om), lambda k: F.array_contains("gone", k)), lambda k: F.try_element_at(om, k)))
     new = F.array_max(F.transform(F.filter(F.map_keys(nm), lambda k: F.array_contains("born", k)), lambda k: F.try_element_at(nm, k)))
     mirrored = F.greatest(F.coalesce(same, F.lit(0.0)), F.least(F.coalesce(lost, F.lit(0.0)), F.coalesce(new, F.lit(0.0))))
-    overlap = F.size(F.array_intersect("old_leaves", "new_leaves")) / F.least(F.size("old_leaves"), F.size("new_leaves"))
+    overlap = F.coalesce("common", F.lit(0)) / F.least("old_own", "new_own")
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, 2))
     alike = F.size(F.array_intersect(grams(F.col("old_path")), grams(F.col("new_path")))) / F.size(F.array_union(grams(F.col("old_path")), grams(F.col("new_path"))))
     p = p.withColumn("evidence", F.greatest(mirrored, overlap)).where(F.col("evidence") >= RENAME_EVIDENCE)

@@ -139,6 +139,12 @@ def test_drift_odd_input(spark):
     assert none == set()
 
 
+def test_rename_by_all_values_of_a_large_file(spark):
+    files = [("f1", [{"code": f"m{i:03}", "n": 1} for i in range(200)]), ("f2", [{"label": f"{'a' if i < 100 else 'm'}{i % 300 - 100 if i >= 100 else i:03}", "n": 1} for i in range(300)])]
+    _, got = drift(spark, files)
+    assert got == {("f2", "code", "renamed", "label")}
+
+
 def test_uniform_table(spark):
     pv, _ = drift(spark, [("f1", [{"exp": 30.0}, {"exp": "abc"}, {"time": {"value": 5, "unit": "s"}}, {"exp": "12.5 s"}])])
     got = {r.line: (r.e, r.failed_casts) for r in schema_drift.uniform_table(pv, {"e": ("double", ["exp", "time"])}).collect()}
