@@ -210,6 +210,22 @@ def test_spikes_frozen_runs_and_limits(spark):
     assert len(got) == 2 * len(rows)
 
 
+def test_frozen_run_is_judged_alike_at_every_table_size(spark):
+    rnd = random.Random(8)
+    nights = []
+    for night in range(4):
+        temps = [round(rnd.choice([-0.2, -0.1, 0.0, 0.1, 0.2]), 1) for _ in range(150)]
+        temps[60:71] = [0.1] * 11 if night == 2 else temps[60:71]
+        temps[59] = temps[71] = -0.2
+        nights.append(temps)
+    frozen = {}
+    for times in (1, 100):
+        rows = [(f"{k}-{n}-{i}", "cam", at((k * 4 + n) * 86_400 + i * 300), -5 + v, 3.0 + i / 1000) for k in range(times) for n, temps in enumerate(nights) for i, v in enumerate(temps)]
+        frozen[times] = {k for (k, f), v in judge(spark, rows).items() if f == "temp" and v == "frozen"}
+    assert frozen[1] == {f"0-2-{i}" for i in range(60, 71)}
+    assert frozen[100] == {f"{k}-2-{i}" for k in range(100) for i in range(60, 71)}
+
+
 def test_spikes_edges(spark):
     assert judge(spark, []) == {}
     got = judge(spark, [("a", None, at(0), 1.0, None), ("b", "c", None, 500.0, 1.0), (None, "c", at(0), 1.0, 1.0), ("d", "c", at(0), 1.0, 1.0), ("e", "c2", at(0), 1.0, 1.0), ("f", "c2", at(0), 1.0, 1.0)])
