@@ -174,18 +174,63 @@ def _renames(pv: DataFrame, changes: DataFrame) -> DataFrame:
     return p.where("r_old = 1 and r_new = 1").select("source", "file", "old_path", "new_path", "prev_type", "type")
 
 
-def uniform_table(pv: DataFrame, fields: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """(source, file, line, one typed column a field, failed_casts): the drifting lines as one table.
-
-    `fields` maps a column to its type and the paths that may carry it, the first present one wins.  Where a value is present but
-    can't be cast, the column is NULL and the field is listed in `failed_casts`.  Lines repeated in a file give one row.
+def all_lines(rows: DataFrame, *, source: str, file: str, line: str, payload: str) -> DataFrame:
+    """(source, file, line, unreadable): every line once; `unreadable` if it has a text but none that is a JSON object."""
+    r = rows.select(F.col(source).alias("source"), F.col(file).alias("file"), F.col(line).alias("line"), F.col(payload).alias("payload")).where("file is not null")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    return r.groupBy("source", "file", "line").agg((F.max(F.trim("payload") != "") & ~F.max(good)).alias("unreadable")).withColumn("unreadable", F.coalesce("unreadable", F.lit(False)))
+
+
+def paths_of_fields(renames: DataFrame, fields: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """(source, path, field, rank): paths that chains of renames tie to a field's own paths in a source, nearer ones first."""
+    own = [(p, c, i) for c, (_, paths) in fields.items() for i, p in enumerate(paths)]
+    known = F.create_map(*[x for p, c, i in own for x in (F.lit(p), F.struct(F.lit(c).alias("field"), F.lit(i).alias("rank")))])
+    edges = renames.select("source", F.col("field_path").alias("a"), F.col("new_path").alias("b"))
+    edges = cut_lineage(edges.unionByName(edges.select("source", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    step = edges.select("source", F.col("a").alias("path"), F.try_element_at(known, F.col("a")).alias("f")).where("f is not null").distinct().select("source", "path", "f.field")
+    found, hop = None, max(len(paths) for _, paths in fields.values())
+    while True:
+        near = step.withColumnRenamed("path", "a").join(edges, ["source", "a"]).where(F.try_element_at(known, F.col("b")).isNull())
+        step = near.groupBy("source", F.col("b").alias("path")).agg(F.min("field").alias("field"))
+        step = cut_lineage(step if found is None else step.join(found, ["source", "path"], "left_anti"))
+        ranked = step.withColumn("rank", F.lit(hop))
+        found = ranked if found is None else found.unionByName(ranked)
+        if step.isEmpty():
+            return found
+        hop += 1
+
+
+def uniform_table(pv: DataFrame, fields: dict[str, tuple[str, list[str]]], *, lines: DataFrame | None = None, renames: DataFrame | None = None) -> DataFrame:
+    """(source, file, line, one typed column a field, failed_casts, rest): the drifting lines as one table.
+
+    `fields` maps a column to its type and the paths that may carry it, the first present one wins; paths that `renames` (of
+    `schema_changes`) ties to them in a source come after.  Where a value of any JSON type is present but can't be cast, the column
+    is NULL and the field is listed in `failed_casts`; a line of `lines` that is no JSON object lists 'payload'.  `rest` maps
+    every path that no field lists to its value as JSON.  Lines repeated in a file give one row.
     """
     named = F.create_map(*[x for c, (_, paths) in fields.items() for i, p in enumerate(paths) for x in (F.lit(p), F.struct(F.lit(c).alias("field"), F.lit(i).alias("rank")))])
-    cell = _with_leaf(pv.where(F.try_element_at(named, F.col("path")).isNotNull())).withColumn("f", F.try_element_at(named, F.col("path")))
-    wide = cell.groupBy("source", "file", "line").pivot("f.field", list(fields)).agg(F.min(F.struct(F.col("f.rank"), F.col("leaf"))).getField("leaf"))
+    is_nested = (F.col("path") == NESTED) & (F.col("type") == "object")  # its members are paths of their own
+    cell = pv.where(~is_nested).withColumn("leaf", _leaf(F.col("v"), F.col("type"))).withColumn("f", F.try_element_at(named, F.col("path")))
+    cell = cell.withColumn("json", F.to_json("v")).drop("v", "at")
+    tied = paths_of_fields(renames, fields) if renames is not None else None
+    if tied is not None:
+        cell = cell.join(tied, ["source", "path"], "left").withColumn("field", F.coalesce("f.field", "field")).withColumn("rank", F.coalesce("f.rank", "rank"))
+    else:
+        cell = cell.withColumn("field", F.col("f.field")).withColumn("rank", F.col("f.rank"))
+    blank = (F.col("type") == "null") | ((F.col("type") == "string") & F.col("leaf").isNull())
+    pick = F.struct(F.col("leaf").isNull().alias("none"), F.col("rank"), F.col("leaf"))
+    best = [F.min(F.when((F.col("field") == c) & ~blank, pick)).alias(c) for c in fields]
+    others = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("f").isNull(), F.struct("path", F.coalesce("json", F.lit("null")).alias("json"))))))
+    keys = ["source", "file", "line"]
+    wide = cell.groupBy(*keys).agg(*best, others.alias("rest"))
+    every = (lines if lines is not None else pv.select(*keys).distinct().withColumn("unreadable", F.lit(False))).select(*[F.col(k).alias(f"l_{k}") for k in keys], "unreadable")
+    wide = every.join(wide, F.col("l_source").eqNullSafe(F.col("source")) & (F.col("l_file") == F.col("file")) & F.col("l_line").eqNullSafe(F.col("line")), "left")
     cols, bad = [], []
     for c, (kind, _) in fields.items():
-        v = F.col(c).try_cast(kind) if kind != "timestamp" else F.timestamp_millis(F.col(c).try_cast("double").cast("bigint"))
+        leaf = F.col(c).getField("leaf")
+        v = leaf.try_cast(kind) if kind != "timestamp" else F.timestamp_millis(leaf.try_cast("double").cast("bigint"))
         cols.append(v.alias(c))
         bad.append(F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)))
-    return wide.select("source", "file", "line", *cols, F.array_compact(F.array(*bad)).alias("failed_casts"))
+    bad.append(F.when(F.col("unreadable"), F.lit("payload")))
+    rest = F.coalesce("rest", F.create_map().cast("map<string,string>"))
+    return wide.select(*[F.col(f"l_{k}").alias(k) for k in keys], *cols, F.array_compact(F.array(*bad)).alias("failed_casts"), rest.alias("rest"))

@@ -42,7 +42,11 @@ UNIFORM_FIELDS = {
 
 
 def p3_uniform(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.uniform_table(p3_path_values(spark, d), UNIFORM_FIELDS).withColumn("failed_casts", F.array_join("failed_casts", ","))
+    pv = p3_path_values(spark, d)
+    lines = schema_drift.all_lines(read_table(spark, d, "metadata_exports"), source="export_source", file="export_file", line="line_no", payload="payload_json")
+    renames = schema_drift.schema_changes(pv).where("change_kind = 'renamed'")
+    out = schema_drift.uniform_table(pv, UNIFORM_FIELDS, lines=lines, renames=renames)
+    return out.withColumn("failed_casts", F.array_join("failed_casts", ",")).withColumn("rest", F.to_json("rest"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

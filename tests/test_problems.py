@@ -151,6 +151,20 @@ def test_uniform_table(spark):
     assert got == {0: (30.0, []), 1: (None, ["e"]), 2: (5.0, []), 3: (12.5, [])}
 
 
+def test_uniform_table_keeps_every_path_and_line(spark):
+    files = [("f1", lines(exp=lambda i: 10.0 + i, note="x")), ("f2", lines(shutter=lambda i: 10.0 + i, note="x")), ("f3", [{"exp": [1, 2], "headers": {"A": 1}}, {"exp": True}, {}, "{bad"])]
+    pv, got = drift(spark, files)
+    assert ("f2", "exp", "renamed", "shutter") in got
+    raw = spark.createDataFrame([("s", f, n, x if isinstance(x, str) else json.dumps(x)) for f, ls in files for n, x in enumerate(ls)], "src string, file string, line int, payload string")
+    every = schema_drift.all_lines(raw, source="src", file="file", line="line", payload="payload")
+    rows = schema_drift.uniform_table(pv, {"e": ("double", ["exp"])}, lines=every, renames=schema_drift.schema_changes(pv).where("change_kind = 'renamed'")).collect()
+    got = {(r.file, r.line): (r.e, r.failed_casts, r.rest) for r in rows}
+    assert len(got) == len(rows) == 16
+    assert got["f1", 2] == (12.0, [], {"note": '"x"'}) and got["f2", 2][:2] == (12.0, []) and got["f2", 2][2]["note"] == '"x"'
+    assert got["f3", 0] == (None, ["e"], {"headers.A": "1"}) and got["f3", 1] == (None, ["e"], {})
+    assert got["f3", 2] == (None, [], {}) and got["f3", 3] == (None, ["payload"], {})
+
+
 # ---- timestamps
 
 
