@@ -65,12 +65,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("light_id"), F.col("right_id").alias("dark_id"))
 
 
-#: What a sensor and a star measurement can be at all, and what counts as a gross departure (degrees; ratio as logarithm).
+#: What a sensor and a star measurement can be at all, and the least step that they show (degrees; ratio as logarithm).
 READINGS = [
-    spikes.Field("ccd_temp", -100.0, 100.0, False, 5.0),
-    spikes.Field("fwhm", 0.0, 100.0, True, 0.69, lowest_open=True),
-    spikes.Field("hfr", 0.0, 100.0, True, 0.69, lowest_open=True),
-    spikes.Field("star_count", 0.0, 500_000.0, True, 1.1),
+    spikes.Field("ccd_temp", -100.0, 100.0, False, 0.1),
+    spikes.Field("fwhm", 0.0, 100.0, True, 0.02, lowest_open=True),
+    spikes.Field("hfr", 0.0, 100.0, True, 0.02, lowest_open=True),
+    spikes.Field("star_count", 0.0, 500_000.0, True, 0.02),
 ]
 
 

@@ -193,7 +193,7 @@ def test_timestamp_states(spark):
 
 # ---- implausible readings
 
-FIELDS = [spikes.Field("temp", -100.0, 100.0, False, 5.0), spikes.Field("fwhm", 0.0, 100.0, True, 0.69, lowest_open=True)]
+FIELDS = [spikes.Field("temp", -100.0, 100.0, False, 0.1), spikes.Field("fwhm", 0.0, 100.0, True, 0.02, lowest_open=True)]
 
 
 def judge(spark, rows):
@@ -240,6 +240,26 @@ def test_frozen_run_is_judged_alike_at_every_table_size(spark):
     assert frozen[100] == {f"{k}-2-{i}" for k in range(100) for i in range(60, 71)}
 
 
+def test_a_jump_is_judged_by_its_source(spark):
+    rnd = random.Random(9)
+    rows = []
+    for cam, spread in (("calm", 0.1), ("wild", 3.0)):
+        for night in range(5):
+            rows += [(f"{cam}-{night}-{i}", cam, at(night * 86_400 + i * 300), round(-5 + rnd.gauss(0, spread) + (4.0 if i == 40 else 0.0), 2), round(3 + rnd.gauss(0, 0.1), 4)) for i in range(80)]
+    got = {k for (k, f), v in judge(spark, rows).items() if f == "temp" and v}
+    assert got == {f"calm-{night}-40" for night in range(5)}
+
+
+def test_the_forest_decides(spark, monkeypatch):
+    rnd = random.Random(10)
+    rows = [(f"{n}-{i}", "cam", at(n * 86_400 + i * 300), round(-5 + rnd.gauss(0, 0.3), 2), round(3 + rnd.gauss(0, 0.1), 4)) for n in range(6) for i in range(80)]
+    rows[200] = (*rows[200][:3], 10.0, rows[200][4])
+    flagged = lambda: {k for k, v in judge(spark, rows).items() if v}
+    assert flagged() == {(rows[200][0], "temp")}
+    monkeypatch.setattr(spikes, "MARGIN", -1.0)  # no reading is below the threshold: the exact check alone
+    assert len(flagged()) > 3
+
+
 def test_spikes_edges(spark):
     assert judge(spark, []) == {}
     got = judge(spark, [("a", None, at(0), 1.0, None), ("b", "c", None, 500.0, 1.0), (None, "c", at(0), 1.0, 1.0), ("d", "c", at(0), 1.0, 1.0), ("e", "c2", at(0), 1.0, 1.0), ("f", "c2", at(0), 1.0, 1.0)])
@@ -253,6 +273,6 @@ def test_forest_isolates_what_is_far(n):
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
-    forest = spikes.grow_forest(np.vstack([x, np.full((1, 4), 12.0)]), 1)
+    forest = spikes.grow_forest(x, [np.full((1, 4), 12.0), np.empty((0, 4))], 1)
     s = spikes.forest_scores(forest, np.vstack([x[:n], np.full((1, 4), 12.0)]), 501)
     assert s[-1] > 0.55 and s[-1] > s[:-1].max()
