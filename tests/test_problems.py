@@ -252,12 +252,13 @@ def test_a_jump_is_judged_by_its_source(spark):
 
 def test_the_forest_decides(spark, monkeypatch):
     rnd = random.Random(10)
-    rows = [(f"{n}-{i}", "cam", at(n * 86_400 + i * 300), round(-5 + rnd.gauss(0, 0.3), 2), round(3 + rnd.gauss(0, 0.1), 4)) for n in range(6) for i in range(80)]
+    rows = [(f"{n}-{i}", "cam", at(n * 86_400 + i * 300), round(-5 + rnd.gauss(0, 0.7 if rnd.random() < 0.08 else 0.3), 2), round(3 + rnd.gauss(0, 0.1), 4)) for n in range(6) for i in range(80)]
     rows[200] = (*rows[200][:3], 10.0, rows[200][4])
     flagged = lambda: {k for k, v in judge(spark, rows).items() if v}
-    assert flagged() == {(rows[200][0], "temp")}
+    with_forest = flagged()
     monkeypatch.setattr(spikes, "MARGIN", -1.0)  # no reading is below the threshold: the exact check alone
-    assert len(flagged()) > 3
+    without = flagged()
+    assert (rows[200][0], "temp") in with_forest and with_forest < without and len(without) >= 2 * len(with_forest)
 
 
 def test_spikes_edges(spark):
