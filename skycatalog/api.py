@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skycatalog import schema
 from skycatalog.functions import scalar
-from skycatalog.operators import analytics, files, frames, jobs, rollups, search
-from skycatalog.session import ship_package
+from skycatalog.operators import analytics, export, files, frames, jobs, rollups, search
+from skycatalog.session import cut_lineage, ship_package
 from skycatalog.sources import headers
 from skycatalog.store import SnapshotStore
 
@@ -33,7 +33,7 @@ class Catalog:
 
     def insert(self, name: str, rows: DataFrame) -> None:
         now = F.current_timestamp()
-        new = rows if "id" in rows.columns else rows.withColumn("id", F.expr("uuid()"))
+        new = rows if "id" in rows.columns else rows.withColumn("id", export.uuidv7(now))
         self.store.commit({name: self.table(name).unionByName(schema.conform(new.withColumn("created_at", now).withColumn("updated_at", now), name))})
 
     def update(self, name: str, changes: DataFrame, columns: list[str]) -> None:
@@ -57,15 +57,17 @@ class Catalog:
         known = old.where(F.col("watch_folder_id") == folder_id)
         walked = headers.walk(self.spark, root, skip).withColumn("watch_folder_id", F.lit(folder_id))
         seen_at = F.lit(self.spark.range(1).select(F.current_timestamp()).first()[0])
-        state = files.upsert_discovered(schema.conform(old, "files").select("id", *files.KEY, "filename", "extension", "size_bytes", "file_mtime", "sha256", "status", "updated_at"), walked, seen_at)
+        # walk and heads are read once: three tables are written from them
+        state = cut_lineage(files.upsert_discovered(schema.conform(old, "files").select("id", *files.KEY, "filename", "extension", "size_bytes", "file_mtime", "sha256", "status", "updated_at"), walked, seen_at))
         # the join with what is known comes before the parser, so unchanged files are never opened
         todo = state.where(F.col("changed") & (F.col("watch_folder_id") == folder_id)).select("id", "relative_path", "extension")
-        parsed = headers.scan_files(todo, root)
-        rec = frames.frame_records(parsed.where("status = 'ok'"), "headers_json", ["id", "relative_path", "headers_json"])
+        parsed = cut_lineage(headers.scan_files(todo, root))
+        rec = frames.frame_records(parsed.where("status = 'ok'"), "headers_json", ["id", "relative_path", "headers_json"], format=F.col("format"))
         kind, source = scalar.classify(F.col("image_type"), F.col("relative_path"))
         new = rec.select(
             F.col("id").alias("file_id"), kind.alias("frame_type"), source.alias("frame_type_source"), F.col("object").alias("object_raw"), F.col("filter").alias("filter_raw"), "exposure_seconds",
-            frames.date_obs_utc(F.col("date_obs")).alias("date_obs_utc"), F.col("telescope").alias("telescope_raw"), F.col("instrument").alias("camera_raw"), "ccd_temp", "set_temp", "gain", F.col("offset").alias("offset_adu"), "headers_json",
+            frames.date_obs_utc(F.col("date_obs")).alias("date_obs_utc"), F.col("telescope").alias("telescope_raw"), F.col("instrument").alias("camera_raw"), "ccd_temp", "set_temp", "gain", F.col("offset").alias("offset_adu"),
+            *[F.col(c).cast("int").alias(c) for c in ("binning_x", "binning_y", "width_px", "height_px")], "ra_deg", "dec_deg", "focal_length", "aperture", "pier_side", "airmass", "observer", "site_name", "bayer_pattern", "headers_json",
         )
         errors = parsed.where("status = 'error'").select(F.col("id").alias("e_id"), F.concat_ws(": ", "error_code", "error_message").alias("parse_error"))
         merged = state.join(errors, F.col("id") == F.col("e_id"), "left").drop("e_id")
@@ -75,10 +77,17 @@ class Catalog:
         self.store.commit({"files": schema.conform(table, "files"), "frames": schema.conform(frames.upsert_frames(self.table("frames"), new), "frames"), "scan_result": table.select("is_new", "changed", "was_restored", "parse_error")})
         return files.scan_counters(self.store.read("scan_result"), F.col("parse_error").isNotNull())
 
-    def hash_backlog(self, root: str, n: int = 500) -> None:
-        """Hashes up to `n` files and resolves duplicate groups."""
+    def watched_folders(self) -> DataFrame:
+        """Folders that are active and watched live."""
+        return self.table("watch_folders").where("is_active and live_watch_enabled")
+
+    def hash_backlog(self, root: str | None = None, n: int = 500) -> None:
+        """Hashes up to `n` files and resolves duplicate groups; without `root` the files lie in their watch folders."""
         old = self.table("files")
-        done = headers.hash_files(files.unhashed(old, n).select("id", "relative_path"), root).where("sha256 is not null").select(F.col("id").alias("h_id"), F.col("sha256").alias("h"))
+        todo = files.unhashed(old, n)
+        if root is None:
+            todo, root = files.in_watch_folders(todo, self.table("watch_folders")), "/"
+        done = headers.hash_files(todo.select("id", "relative_path"), root).where("sha256 is not null").select(F.col("id").alias("h_id"), F.col("sha256").alias("h"))
         with_hash = old.join(done, F.col("id") == F.col("h_id"), "left").withColumn("sha256", F.coalesce("h", "sha256")).drop("h_id", "h", "duplicate_of_id")
         self.store.commit({"files": schema.conform(files.resolve_duplicates(with_hash), "files")})
 

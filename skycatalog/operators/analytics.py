@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skycatalog.functions import scalar
 from skycatalog.operators.sessions import sessionize
+from skycatalog.session import cut_lineage
 
 #: Degrees of declination of a band of the cone search.
 BAND = 1.0
@@ -26,11 +27,20 @@ def normal_name(raw: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\b0+([0-9])", "$1"))
 
 
-def resolve_targets(frames: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, target, how): exact alias lookup of the object name; misses are for review (X1, J10). Equal aliases: the first name."""
+def resolve_targets(frames: DataFrame, targets: DataFrame, radius_degrees: float = 1.0) -> DataFrame:
+    """(id, target, panel, how): exact alias lookup of the object name without its mosaic panel, then the nearest target in a cone.
+
+    how: 'alias'; 'cone' (a proposal by position, for names that resolve to nothing); 'review'.  Equal aliases: the first name; equal
+    distances: the first name.  Frames without position or with a blank name are looked up by the other alone.
+    """
     alias = target_aliases(targets).join(targets.select(F.col("id").alias("target_id"), "canonical_name"), "target_id").groupBy("alias").agg(F.min("canonical_name").alias("target"))
-    f = frames.select("id", normal_name(F.col("object_raw")).alias("alias")).where("alias <> ''")
-    return f.join(alias, "alias", "left").select("id", "target", F.when(F.col("target").isNull(), "review").otherwise("alias").alias("how"))
+    whole = F.regexp_replace(F.upper("object_raw"), r"(PANEL[ _-]*|_P)[0-9]+", " ")
+    f = frames.select("id", normal_name(whole).alias("alias"), scalar.mosaic_panel(F.col("object_raw")).alias("panel"), "ra_deg", "dec_deg").where("alias <> ''")
+    named = cut_lineage(f.join(alias, "alias", "left"))
+    near = cone_search(named.where("target is null").select("id", "ra_deg", "dec_deg"), targets, radius_degrees).join(targets.select(F.col("id").alias("target_id"), "canonical_name"), "target_id")
+    near = near.groupBy("id").agg(F.min(F.struct(F.round("separation", 6), "canonical_name")).getField("canonical_name").alias("nearest"))
+    how = F.when(F.col("target").isNotNull(), "alias").when(F.col("nearest").isNotNull(), "cone").otherwise("review")
+    return named.join(near, "id", "left").select("id", F.coalesce("target", "nearest").alias("target"), "panel", how.alias("how"))
 
 
 def cone_search(points: DataFrame, targets: DataFrame, radius_degrees: float) -> DataFrame:
@@ -54,27 +64,38 @@ def detect_sessions(frames: DataFrame, zone: str = "UTC", gap_hours: int = 4) ->
     return s.select(part[0].alias("equipment_profile_id"), part[1].alias("astro_day"), F.timestamp_micros("start_us").alias("started_at_utc"), F.timestamp_micros("end_us").alias("ended_at_utc"), "event_count", "distinct_count")
 
 
+#: What a master of each kind must have in common with the lights; a dark's temperature is within 2 degrees where both are known.
+MASTER_KEYS = {"dark": ["camera", "exposure", "gain", "offset", "binning"], "bias": ["camera", "gain", "offset", "binning"], "flat": ["camera", "binning", "filter"]}
+
+
 def match_calibration(sessions: DataFrame, masters: DataFrame, w_temp: float = 0.5, w_recency: float = 0.3, w_count: float = 0.2, stale_days: int = 30) -> DataFrame:
-    """Best master of each kind for each light group, scored; stale beyond `stale_days`, missing if none fits.
+    """(group_id, kind, master_id, score, status, group_status): best master of each kind for each light group.
 
-    `sessions`: group_id, camera, exposure, gain, binning, temp, filter, at.  `masters`: master_id, kind, the same columns and sub_count.
-    Hard conditions: camera, gain, binning; exposure and +-2 degrees for darks; filter for flats.  The best by score, then the
-    smallest id, is found by aggregation: no group is sorted as a whole.
+    `sessions`: group_id, camera, exposure, gain, offset, binning, temp, filter, at.  `masters`: master_id, kind, the same columns and
+    sub_count.  The best by score (to nine decimals), then the smallest id, by one aggregation over an equi-join a kind; NULL
+    equals NULL in a key but for camera and exposure; unknown dates count as far apart.  status: 'complete', 'stale' (a flat more than `stale_days` away), 'missing'; of
+    a group: 'missing' if it has no master, 'partial' if not all kinds, 'stale' if one is, else 'complete'.
     """
-    kinds = F.explode(F.array(F.lit("dark"), F.lit("flat"), F.lit("bias")))
-    g = sessions.withColumn("kind", kinds)
-    m = masters.select(*[F.col(c).alias(f"m_{c}") for c in masters.columns])
-    key = (F.col("kind") == F.col("m_kind")) & (F.col("camera") == F.col("m_camera")) & F.col("gain").eqNullSafe(F.col("m_gain")) & F.col("binning").eqNullSafe(F.col("m_binning"))
-    dark = (F.col("kind") != "dark") | ((F.col("exposure") == F.col("m_exposure")) & (F.abs(F.col("temp") - F.col("m_temp")) <= 2.0))
-    flat = (F.col("kind") != "flat") | F.col("filter").eqNullSafe(F.col("m_filter"))
-    close = 1 - F.least(F.coalesce(F.abs(F.col("temp") - F.col("m_temp")), F.lit(2.0)) / 2.0, F.lit(1.0))
-    days = F.abs(F.datediff("at", "m_at"))
-    score = w_temp * close + w_recency * F.exp(-days / 30.0) + w_count * F.least(F.col("m_sub_count") / 30.0, F.lit(1.0))
-    hit = g.join(m, key & dark & flat).groupBy("group_id", "kind").agg(F.max_by(F.struct("m_master_id", days.alias("days"), score.alias("score")), F.struct(score, F.hash("m_master_id"))).alias("w"))
-    return g.select("group_id", "kind").join(hit, ["group_id", "kind"], "left").select(
-        "group_id", "kind", F.col("w.m_master_id").alias("master_id"), F.round("w.score", 6).alias("score"),
-        F.when(F.col("w").isNull(), "missing").when(F.col("w.days") > stale_days, "stale").otherwise("complete").alias("status"),
-    )
+    hits = None
+    for kind, keys in MASTER_KEYS.items():
+        m = masters.where(F.col("kind") == kind).select("master_id", "sub_count", *[F.col(c).alias(f"m_{c}") for c in ("at", "temp", *keys)])
+        on = [(F.col(k) == F.col(f"m_{k}")) if k in ("camera", "exposure") else F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+        apart = F.abs(F.col("temp") - F.col("m_temp"))
+        if kind == "dark":
+            on.append(F.coalesce(apart <= 2.0, F.lit(True)))
+        j = sessions.join(m, on)
+        days = F.abs(F.datediff("at", "m_at"))
+        score = w_temp * (1 - F.least(F.coalesce(apart, F.lit(2.0)) / 2.0, F.lit(1.0))) + w_recency * F.coalesce(F.exp(-days / 30.0), F.lit(0.0)) + w_count * F.least(F.col("sub_count") / 30.0, F.lit(1.0))
+        hit = j.select("group_id", F.lit(kind).alias("kind"), F.struct((-F.round(score, 9)).alias("s"), "master_id", days.alias("days")).alias("w"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    best = hits.groupBy("group_id", "kind").agg(F.min("w").alias("w"))
+    every = sessions.select("group_id", F.explode(F.array(*[F.lit(k) for k in MASTER_KEYS])).alias("kind")).distinct()
+    status = F.when(F.col("w").isNull(), "missing").when((F.col("kind") == "flat") & (F.col("w.days") > stale_days), "stale").otherwise("complete")
+    out = every.join(best, ["group_id", "kind"], "left").select("group_id", "kind", "w.master_id", F.round(-F.col("w.s"), 6).alias("score"), status.alias("status"))
+    group = Window.partitionBy("group_id")  # a row a kind
+    number = lambda s: F.sum((F.col("status") == s).cast("int")).over(group)
+    whole = F.when(number("missing") == len(MASTER_KEYS), "missing").when(number("missing") > 0, "partial").when(number("stale") > 0, "stale").otherwise("complete")
+    return out.withColumn("group_status", whole)
 
 
 def review_queue(frames: DataFrame, files: DataFrame, filters: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOM = "﻿"
-BASELINE = "recordedAt string, metrics array<struct<name: string, unit: string, value: double, samples: array<double>>>"
+# Keys and units of a baseline file.
+BASELINE = ["schemaVersion", "generatedAt", "results"]
+METRIC = ["name", "unit", "value", "higherIsBetter", "samples"]
+RATE_UNITS = ["rows/sec", "queries/sec", "headers/sec", "files/sec"]
 
 
 def uuidv7(at: Column) -> Column:
@@ -29,10 +32,11 @@ def facets(
     until: str | None = None,
     least_seconds: float | None = None,
     present_files: DataFrame | None = None,
+    finals: DataFrame | None = None,
 ) -> DataFrame:
     """Targets by all facets that are given: (target_id, frame_count, total_seconds, last_imaged).
 
-    `present_files` leaves frames of missing files out.  Predicates on frames reach the scan; the threshold is on the sums.
+    `present_files` leaves frames of missing files out, `finals` those of files that a final image is linked to.  Predicates on frames reach the scan; the threshold is on the sums.
     """
     f = frames.where("target_id is not null")
     for column, values in (("frame_type", types), ("filter_id", filters), ("equipment_profile_id", rigs)):
@@ -45,6 +49,9 @@ def facets(
     if present_files is not None:
         here = present_files.where("status <> 'missing'").select(F.col("id").alias("_file"))
         f = f.join(here, F.col("file_id") == F.col("_file"), "left_semi")
+    if finals is not None:
+        linked = finals.where("is_final and file_id is not null").select(F.col("file_id").alias("_final"))
+        f = f.join(linked, F.col("file_id") == F.col("_final"), "left_anti")
     g = f.groupBy("target_id").agg(F.count(F.lit(1)).alias("frame_count"), F.round(F.sum("exposure_seconds"), 3).alias("total_seconds"), F.max("date_obs_utc").alias("last_imaged"))
     return g if least_seconds is None else g.where(F.col("total_seconds") >= least_seconds)
 
@@ -75,10 +82,29 @@ def export_json(rows: DataFrame, path: str) -> None:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(name, unit, value): metrics of a run's file; malformed files and values that are not positive fail."""
-    m = spark.read.schema(BASELINE).option("multiLine", True).option("mode", "FAILFAST").json(path).where("metrics is not null").select(F.explode("metrics").alias("m")).select("m.*")
-    bad = F.col("name").isNull() | F.col("value").isNull() | F.isnan("value") | (F.col("value") <= 0) | F.exists(F.coalesce("samples", F.array().cast("array<double>")), lambda s: s <= 0)
-    return m.select(F.when(bad, F.raise_error(F.concat(F.lit("bad metric: "), F.coalesce("name", F.lit("?"))))).otherwise(F.col("name")).alias("name"), "unit", "value")
+    """(name, unit, value): metrics of a baseline file; anything but its exact layout is an error.
+
+    The layout: schemaVersion 1, generatedAt in UTC to the millisecond, and results with exactly the keys of METRIC; a rate unit, positive
+    finite numbers, at least one sample, no name twice.
+    """
+    wrong = lambda bad, what, value: F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit(f"bad baseline: {what} "), F.coalesce(value, F.lit("?"))))).otherwise(value)
+    keys = lambda c: F.array_sort(F.map_keys(F.from_json(c, "map<string,string>")))
+    exactly = lambda names: F.array(*[F.lit(n) for n in sorted(names)])
+    finite = lambda c: (c > 0) & (c < float("inf"))
+    t = spark.read.text(path, wholetext=True).withColumn("top", F.from_json("value", "map<string,string>"))
+    good = (keys(F.col("value")) == exactly(BASELINE)) & (F.col("top.schemaVersion") == "1") & F.col("top.generatedAt").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$") & F.try_to_timestamp("top.generatedAt").isNotNull()
+    t = t.select(wrong(~good, "file", F.col("value")).alias("value")).select(F.explode(F.from_json(F.from_json("value", "map<string,string>")["results"], "array<string>")).alias("raw"))
+    kind = "struct<name: string, unit: string, value: double, higherIsBetter: boolean, samples: array<double>>"
+    m = t.withColumn("m", F.from_json("raw", kind))
+    metric = (keys(F.col("raw")) == exactly(METRIC)) & (F.length("m.name") > 0) & F.col("m.unit").isin(RATE_UNITS) & F.col("m.higherIsBetter") & finite(F.col("m.value")) & (F.size("m.samples") > 0) & F.forall("m.samples", finite)
+    m = m.select(wrong(~metric, "metric", F.col("raw")).alias("raw")).select(F.from_json("raw", kind).alias("m")).select("m.name", "m.unit", "m.value")
+    g = m.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"), F.first("value").alias("value"))
+    return g.select(wrong(F.col("n") > 1, "repeated name", F.col("name")).alias("name"), "unit", "value")
+
+
+def change_label(change: Column) -> Column:
+    """A change as a signed percentage with one decimal, '-' for none."""
+    return F.when(change.isNull(), F.lit("-")).otherwise(F.format_string("%+.1f%%", change * 100))
 
 
 def rate(units: Column, elapsed_ms: Column) -> Column:

@@ -70,6 +70,19 @@ def unhashed(files: DataFrame, n: int) -> DataFrame:
     return files.where(F.col("sha256").isNull() & F.col("status").isin("present", "duplicate")).orderBy("created_at", "id").limit(n)
 
 
+def in_watch_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """`files` with their whole path as relative_path; files without a known folder are left out."""
+    at = folders.where("path is not null").select(F.col("id").alias("_folder"), F.col("path").alias("_path"))
+    j = files.join(at, F.col("watch_folder_id") == F.col("_folder"))
+    return j.withColumn("relative_path", F.concat_ws("/", F.rtrim("_path", F.lit("/")), "relative_path")).drop("_folder", "_path")
+
+
+def name_ids(rows: DataFrame, name: str, known: DataFrame, known_name: str, as_: str) -> DataFrame:
+    """`rows` with the id of the entry of that name (the smallest of several), NULL for none."""
+    ids = known.where(F.col(known_name).isNotNull()).groupBy(F.col(known_name).alias("_name")).agg(F.min("id").alias(as_))
+    return rows.join(ids, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def match_moves(new: DataFrame, missing: DataFrame) -> DataFrame:
     """(new_id, file_id): new files that are missing ones at another place.
 

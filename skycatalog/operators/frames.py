@@ -24,15 +24,39 @@ def header_number(headers: Column, keyword: str) -> Column:
     return F.when(number, F.try_variant_get(headers, f"$['{keyword}']", "double"))
 
 
-def frame_records(rows: DataFrame, headers_json: str, keep: list[str]) -> DataFrame:
-    """Typed record of each header: strings only from strings, numbers only from numbers, first present keyword wins.
+def text_number(headers: Column, keyword: str) -> Column:
+    """Number of a keyword whose value is text, as XISF writes all values; NULL if it is no finite number."""
+    n = F.trim(F.try_variant_get(headers, f"$['{keyword}']", "string")).try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
+
+def _xisf_first(field: str, keywords: list[str], get) -> Column:
+    """The first keyword, else the native property that stands in for it, else the other keywords."""
+    prop = [f"prop:{rules.XISF_PROPERTIES[field]}"] if field in rules.XISF_PROPERTIES else []
+    return F.coalesce(*[get(F.col("_h"), k) for k in [keywords[0], *prop, *keywords[1:]]])
+
+
+def frame_records(rows: DataFrame, headers_json: str, keep: list[str], format: Column | None = None) -> DataFrame:
+    """Typed record of each header, by the rules of its `format` ('fits' by default, 'xisf', 'raw').
+
+    FITS: strings only from strings, numbers only from numbers, first present keyword wins.  XISF: all values are text; native
+    properties stand in for absent keywords.  Camera RAW: exposure, time, camera and ISO (as gain) from EXIF, all else NULL.
     Malformed or NULL headers give NULL fields.
     """
-    h = rows.select(*keep, F.try_parse_json(headers_json).alias("_h"))
+    h = rows.select(*keep, F.try_parse_json(headers_json).alias("_h"), (F.lit("fits") if format is None else F.coalesce(format, F.lit("fits"))).alias("_format"))
     first = lambda get, ks: F.coalesce(*[get(F.col("_h"), k) for k in ks])
     text = {f: first(header_text, ks) for f, ks in rules.STRING_KEYWORDS.items()}
     num = {f: first(header_number, ks) for f, ks in rules.NUMBER_KEYWORDS.items()}
+    if format is not None:
+        is_xisf, is_raw = F.col("_format") == "xisf", F.col("_format") == "raw"
+        exif = {
+            "exposure_seconds": header_number(F.col("_h"), "ExposureTime"), "gain": header_number(F.col("_h"), "ISO"),
+            "date_obs": scalar.exif_date_obs(header_text(F.col("_h"), "DateTimeOriginal"), header_text(F.col("_h"), "OffsetTimeOriginal")),
+            "instrument": scalar.camera_name(header_text(F.col("_h"), "Make"), header_text(F.col("_h"), "Model")),
+        }
+        none = lambda kind: F.lit(None).cast(kind)
+        text = {f: F.when(is_raw, exif.get(f, none("string"))).when(is_xisf, _xisf_first(f, rules.STRING_KEYWORDS[f], header_text)).otherwise(c) for f, c in text.items()}
+        num = {f: F.when(is_raw, exif.get(f, none("double"))).when(is_xisf, _xisf_first(f, rules.NUMBER_KEYWORDS[f], text_number)).otherwise(c) for f, c in num.items()}
     num["ra_deg"] = scalar.ra_degrees(num["ra_deg"], header_text(F.col("_h"), "OBJCTRA"))
     num["dec_deg"] = scalar.dec_degrees(num["dec_deg"], header_text(F.col("_h"), "OBJCTDEC"))
     profile = scalar.detect_profile(lambda k: header_text(F.col("_h"), k))

@@ -7,24 +7,34 @@ Query language: blank-separated terms, all required; `term*` matches prefixes; `
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 K1, B = 1.2, 0.75
 #: Least inverse document frequency, as in the reference ranking formula.
 IDF_FLOOR = 1e-6
 #: Postings of columns come one after another with this gap, so that phrases do not span columns.
 COLUMN_GAP = 1_000_000
-# Latin letters with marks and their plain letters.
-MARKED = "àáâãäåāăąçćčďđèéêëēęěìíîïīįłñńňòóôõöøōőřśšşťùúûüūůűýÿžźż"
-PLAIN = "aaaaaaaaacccddeeeeeeeiiiiiilnnnoooooooorssstuuuuuuuyyzzz"
+
+
+def plain_letters(text: str) -> str:
+    """Lower case, without marks: compatibility forms are kept, combining marks dropped."""
+    low = text.lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    return texts.map(plain_letters, na_action="ignore")
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words without marks; punctuation separates."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def search_entities(targets: DataFrame, aliases: DataFrame, sessions: DataFrame, filters: DataFrame | None = None) -> DataFrame:
@@ -40,7 +50,8 @@ def search_entities(targets: DataFrame, aliases: DataFrame, sessions: DataFrame,
 
 def postings(entities: DataFrame) -> DataFrame:
     """(entity_type, entity_id, column, term, position): one row a word occurrence."""
-    both = entities.select("entity_type", "entity_id", F.explode(F.array(F.struct(F.lit("title").alias("column"), tokens(F.col("title")).alias("w"), F.lit(0).alias("at")), F.struct(F.lit("body").alias("column"), tokens(F.col("body")).alias("w"), F.lit(COLUMN_GAP).alias("at")))).alias("c"))
+    folded_ = entities.select("entity_type", "entity_id", folded(F.coalesce("title", F.lit(""))).alias("title"), folded(F.coalesce("body", F.lit(""))).alias("body"))
+    both = folded_.select("entity_type", "entity_id", F.explode(F.array(F.struct(F.lit("title").alias("column"), tokens(F.col("title")).alias("w"), F.lit(0).alias("at")), F.struct(F.lit("body").alias("column"), tokens(F.col("body")).alias("w"), F.lit(COLUMN_GAP).alias("at")))).alias("c"))
     return both.select("entity_type", "entity_id", "c.column", F.col("c.at").alias("at"), F.posexplode("c.w").alias("p", "term")).select("entity_type", "entity_id", "column", "term", (F.col("at") + F.col("p")).alias("position"))
 
 
@@ -55,7 +66,7 @@ def _parse(query: str) -> tuple[list[list[tuple[str | None, list[str], bool]]],
         if m[4] in ("OR", "AND", "NOT"):
             alternative = m[4] == "OR"
             continue
-        text = "".join(PLAIN[MARKED.index(c)] if c in MARKED else c for c in raw.lower())
+        text = plain_letters(raw)
         words = [w for w in re.split(r"[^\w]+", text.rstrip("*")) if w]
         if not words:
             continue
@@ -108,4 +119,4 @@ def search(entities: DataFrame, query: str) -> DataFrame:
         found = scored.withColumnRenamed("s", "score") if found is None else found.join(scored, ["entity_type", "entity_id"]).select("entity_type", "entity_id", (F.col("score") + F.col("s")).alias("score"))
     for item in excluded:
         found = found.join(_matches(post, item), ["entity_type", "entity_id"], "left_anti")
-    return found.join(entities, ["entity_type", "entity_id"]).select("entity_type", "entity_id", "title", "score")
+    return found.join(entities, ["entity_type", "entity_id"]).select("entity_type", "entity_id", "title", "score").orderBy(F.desc("score"), "entity_type", "entity_id")

@@ -23,16 +23,14 @@ def _roots(cells: DataFrame, gap_us: int) -> DataFrame:
         "key", "cell", F.when(linked, F.col("cell") - 1).otherwise(F.col("cell")).alias("root")
     )
     ptr = cut_lineage(ptr)
-    while True:
-        up = ptr.select(F.col("key").alias("u_key"), F.col("cell").alias("u_cell"), F.col("root").alias("u_root"))
-        moving = ptr.where("root <> cell")
-        still = ptr.where("root = cell")
-        moved = moving.join(up, (F.col("key") == F.col("u_key")) & (F.col("root") == F.col("u_cell")), "left").select("key", "cell", F.col("u_root").alias("root"), (F.col("u_root") != F.col("root")).alias("changed"))
-        nxt = moved.unionByName(still.withColumn("changed", F.lit(False)))
-        nxt = cut_lineage(nxt)
-        ptr = nxt.drop("changed")
-        if nxt.where("changed").limit(1).count() == 0:
-            return ptr
+    done, open_ = ptr.where("root = cell"), ptr.where("root <> cell")
+    while not open_.isEmpty():
+        # only pointers that may still move are joined; one whose root points to itself is settled
+        up = done.unionByName(open_).select(F.col("key").alias("u_key"), F.col("cell").alias("u_cell"), F.col("root").alias("u_root"))
+        moved = open_.join(up, (F.col("key") == F.col("u_key")) & (F.col("root") == F.col("u_cell"))).select("key", "cell", F.col("u_root").alias("root"), (F.col("u_root") != F.col("root")).alias("moved"))
+        moved = cut_lineage(moved)
+        done, open_ = done.unionByName(moved.where("not moved").drop("moved")), moved.where("moved").drop("moved")
+    return done
 
 
 def sessionize(
@@ -48,8 +46,8 @@ def sessionize(
     follows the one before within `gap_seconds` (a gap of exactly that length still joins).
 
     Events with a NULL key, time or id take no part; rows of the same id count once, at their earliest time;
-    `distinct_of` counts distinct non-null values.  Equal times are one session.  An empty input gives an empty
-    result; other columns are ignored.
+    `distinct_of` counts the distinct non-null values of the session's rows.  Equal times are one session.  An empty input
+    gives an empty result; other columns are ignored.
     """
     gap = int(gap_seconds * 1_000_000)
     ev = events.select(
@@ -58,10 +56,14 @@ def sessionize(
         F.col(event_id).alias("id"),
         (F.col(distinct_of) if distinct_of else F.lit(None).cast("string")).alias("d"),
     ).where("key is not null and t is not null and id is not null")
-    ev = ev.groupBy("key", "id", "d").agg(F.min("t").alias("t")).withColumn("cell", F.floor(F.col("t") / max(gap, 1)).cast("long"))
-    # one row per (cell, distinct value): small, and all that is needed from here on
-    parts = cut_lineage(ev.groupBy("key", "cell", "d").agg(F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.count(F.lit(1)).alias("n")))
-    cells = parts.groupBy("key", "cell").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    cell = F.floor(F.col("t") / max(gap, 1)).cast("long").alias("cell")
+    once = ev.groupBy("key", "id").agg(F.min("t").alias("t"))
+    cells = once.groupBy("key", cell).agg(F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.count(F.lit(1)).alias("n"))
+    values = ev.where("d is not null").select("key", cell, "d").distinct()
+    # one row a cell (d is NULL) and one a cell and value: small, and all that is needed from here on
+    nothing = F.lit(None).cast("bigint")
+    parts = cut_lineage(cells.withColumn("d", F.lit(None).cast(ev.schema["d"].dataType)).unionByName(values.select("key", "cell", nothing.alias("first_us"), nothing.alias("last_us"), nothing.alias("n"), "d")))
+    cells = parts.where("d is null").select("key", "cell", "first_us", "last_us")
     roots = _roots(cells, gap)
     r = roots.select(F.col("key").alias("r_key"), F.col("cell").alias("r_cell"), "root")
     joined = parts.join(r, (F.col("key") == F.col("r_key")) & (F.col("cell") == F.col("r_cell"))).groupBy("key", "root", "d").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycatalog.functions import rules, scalar, sqludf
@@ -44,25 +44,25 @@ def current(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 # ---- rollups ---------------------------------------------------------------------------------------------------------------
 
 
-@query("select target_id, filter_id, frame_type, round(sum(exposure_seconds), 3) as total_seconds, count(*) as frame_count from frames where frame_type = 'light' group by all")
+@query(f"with {CF} select target_id, filter_id, frame_type, round(sum(exposure_seconds), 3) as total_seconds, count(*) as frame_count from cf where frame_type = 'light' group by all order by 4 desc nulls last, 1, 2, 3")
 def integration_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.integration(read_table(spark, d, "frames"), ["target_id", "filter_id", "frame_type"])
+    return rollups.integration(current(spark, d, "target_id", "filter_id", "frame_type", "exposure_seconds"), ["target_id", "filter_id", "frame_type"])
 
 
-@query("select target_id, count(*) as frame_count from frames where frame_type = 'light' and target_id is not null group by 1 order by 2 desc, 1 limit 1")
+@query(f"with {CF} select target_id, count(*) as frame_count from cf where frame_type = 'light' and target_id is not null group by 1 order by 2 desc, 1 limit 1")
 def top_target(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.most_imaged(read_table(spark, d, "frames"))
+    return rollups.most_imaged(current(spark, d, "target_id", "frame_type"))
 
 
-@query("""with t as (select target_id from frames where frame_type = 'light' and target_id is not null group by 1 order by count(*) desc, 1 limit 1)
-select target_id, filter_id, round(sum(exposure_seconds), 3) as total_seconds, count(*) as frame_count from frames join t using (target_id) where frame_type = 'light' group by all""")
+@query(f"""with {CF}, t as (select target_id from cf where frame_type = 'light' and target_id is not null group by 1 order by count(*) desc, 1 limit 1)
+select target_id, filter_id, round(sum(exposure_seconds), 3) as total_seconds, count(*) as frame_count from cf join t using (target_id) where frame_type = 'light' group by all order by 3 desc nulls last, 2""")
 def target_drilldown(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.drill_down(read_table(spark, d, "frames"))
+    return rollups.drill_down(current(spark, d, "target_id", "filter_id", "frame_type", "exposure_seconds"))
 
 
-@query("select id, target_id, session_id from frames where frame_type = 'flat' and session_id is not null")
+@query(f"with {CF} select id, target_id, session_id from cf where frame_type = 'flat' and session_id is not null")
 def frames_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "frames").where("frame_type = 'flat' and session_id is not null").select("id", "target_id", "session_id")
+    return current(spark, d, "frame_type", "target_id", "session_id").where("frame_type = 'flat' and session_id is not null").select("id", "target_id", "session_id")
 
 
 SETS = [["target_id"], ["target_id", "filter_id"], ["session_id"], ["equipment_profile_id"]]
@@ -156,14 +156,14 @@ def realised_distribution(spark: SparkSession, d: str) -> DataFrame:
 # ---- files -----------------------------------------------------------------------------------------------------------------
 
 def _scan_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files as known before (those up to the median size, their time unknown where the row was updated), and what a walk finds now."""
+    """Files as known before (those up to the mean size, their time unknown where the row was updated), and what a walk finds now."""
     f = read_table(spark, d, "files")
-    cut = f.select(F.percentile("size_bytes", 0.5).alias("_cut"))
+    cut = f.select(F.avg("size_bytes").alias("_cut"))
     prior = f.crossJoin(F.broadcast(cut)).where(F.col("size_bytes") <= F.col("_cut")).withColumn("file_mtime", F.when(F.col("updated_at") > F.col("created_at"), None).otherwise(F.col("file_mtime"))).drop("_cut")
     return prior, f.where("status <> 'missing'")
 
 
-SCAN_SQL = """c as (select quantile_cont(size_bytes, 0.5) as cut from files),
+SCAN_SQL = """c as (select avg(size_bytes) as cut from files),
  prior as (select f.* replace (case when updated_at > created_at then null else file_mtime end as file_mtime) from files f, c where size_bytes <= cut),
  seen as (select * from files where status <> 'missing'),
  j as (select coalesce(p.watch_folder_id, s.watch_folder_id) as watch_folder_id, coalesce(p.relative_path, s.relative_path) as relative_path, p.id is not null as was, s.id is not null as now,
@@ -287,6 +287,35 @@ def frame_records(spark: SparkSession, d: str) -> DataFrame:
     return frames.frame_records(current(spark, d, "headers_json"), "headers_json", ["id"]).select("id", "object", "filter", "image_type", "date_obs", "exposure_seconds", (F.col("ccd_temp") + 0.0).alias("ccd_temp"), "gain", "binning_x", "width_px")
 
 
+def _number_sql(key: str) -> str:
+    return f"try_cast(nullif(trim(json_extract_string(h, '$.\"{key}\"')), '') as double)"
+
+
+@query(f"""with r as (select distinct record_id, json_extract(payload_json, '$.headers') as h from metadata_exports where json_valid(payload_json))
+select record_id, json_extract_string(h, '$.OBJECT') as object, json_extract_string(h, '$.FILTER') as filter, json_extract_string(h, '$.IMAGETYP') as image_type, json_extract_string(h, '$."DATE-OBS"') as date_obs,
+ coalesce({_number_sql('EXPTIME')}, {_number_sql('EXPOSURE')}) as exposure_seconds, {_number_sql('CCD-TEMP')} + 0.0 as ccd_temp, {_number_sql('GAIN')} as gain, {_number_sql('XBINNING')} as binning_x from r where json_type(h) = 'OBJECT'""")
+def xisf_records(spark: SparkSession, d: str) -> DataFrame:
+    """The exports' raw headers with all values as text, as an XISF head carries them."""
+    e = read_table(spark, d, "metadata_exports").select("record_id", F.try_variant_get(F.try_parse_json("payload_json"), "$.headers", "map<string,string>").alias("h")).where("h is not null")
+    rec = frames.frame_records(e.select("record_id", F.to_json("h").alias("h")), "h", ["record_id"], format=F.lit("xisf"))
+    return rec.select("record_id", "object", "filter", "image_type", "date_obs", "exposure_seconds", (F.col("ccd_temp") + 0.0).alias("ccd_temp"), "gain", "binning_x").distinct()
+
+
+_EXIF = """r as (select record_id, make, model, exposure_time, iso, date_time_original as t, offset_time_original as o, regexp_matches(date_time_original, '^\\d{4}:\\d{2}:\\d{2} \\d{2}:\\d{2}:\\d{2}$') as ok from raw_keywords where lower(file_ext) not in ('fits', 'xisf')),
+ p as (select *, case when ok then try_strptime(t, '%Y:%m:%d %H:%M:%S') end as l, case when regexp_matches(o, '^[+-]\\d{2}:\\d{2}$') and cast(substr(o, 2, 2) as int) <= 14 and cast(substr(o, 5, 2) as int) < 60 then (case when o[1] = '-' then -1 else 1 end) * (cast(substr(o, 2, 2) as int) * 60 + cast(substr(o, 5, 2) as int)) end as m from r)"""
+
+
+@query(f"""with {_EXIF}
+select record_id, case when m is not null then strftime(l - to_minutes(m), '%Y-%m-%dT%H:%M:%SZ') else strftime(l, '%Y-%m-%dT%H:%M:%S') end as date_obs, exposure_time as exposure_seconds, cast(iso as double) as gain,
+ case when nullif(trim(make), '') is null then nullif(trim(model), '') when nullif(trim(model), '') is null then trim(make) when contains(lower(trim(model)), lower(string_split(trim(make), ' ')[1])) then trim(model) else trim(make) || ' ' || trim(model) end as instrument, cast(null as double) as ccd_temp, cast(null as varchar) as object from p""")
+def raw_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of camera RAW heads from their EXIF tags."""
+    r = read_table(spark, d, "raw_keywords").where("lower(file_ext) not in ('fits', 'xisf')")
+    tags = F.to_json(F.struct(F.col("make").alias("Make"), F.col("model").alias("Model"), F.col("exposure_time").alias("ExposureTime"), F.col("iso").alias("ISO"), F.col("date_time_original").alias("DateTimeOriginal"), F.col("offset_time_original").alias("OffsetTimeOriginal")))
+    rec = frames.frame_records(r.select("record_id", tags.alias("h")), "h", ["record_id"], format=F.lit("raw"))
+    return rec.select("record_id", "date_obs", "exposure_seconds", "gain", "instrument", "ccd_temp", "object")
+
+
 _NORM = "nullif(upper(regexp_replace(regexp_replace(trim(it), '[_-]', ' ', 'g'), '\\s+', ' ', 'g')), '')"
 _TYPES = " ".join(f"when '{k}' then '{v}'" for k, v in rules.IMAGE_TYPES.items())
 _PATH = "case " + " ".join(f"when regexp_matches(s, '(^|[-_.]){w}($|[-_.])') then '{k}'" for w, k in rules.PATH_WORDS) + " end"
@@ -386,15 +415,18 @@ def _name_sql(c: str) -> str:
     return f"trim(regexp_replace({t}, '\\b0+([0-9])', '\\1', 'g'))"
 
 
-@query(f"""with {CF}, raw as (select id, canonical_name, unnest([canonical_name, display_name] || from_json(catalog_ids_json, '["VARCHAR"]')) as n from targets),
- a as (select {_name_sql('n')} as alias, min(canonical_name) as target from raw where n is not null group by 1),
- f as (select id, {_name_sql('object_raw')} as alias from cf where object_raw is not null)
-select f.id, target, case when target is null then 'review' else 'alias' end as how from f left join a using (alias) where alias <> ''""")
-def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.resolve_targets(current(spark, d, "object_raw"), read_table(spark, d, "targets"))
+_SEP = "degrees(2 * asin(sqrt(least(pow(sin(radians(t.dec_deg - f.dec_deg) / 2), 2) + cos(radians(f.dec_deg)) * cos(radians(t.dec_deg)) * pow(sin(radians(t.ra_deg - f.ra_deg) / 2), 2), 1.0))))"
 
 
-_SEP = "degrees(2 * asin(sqrt(least(pow(sin(radians(t.dec_deg - f.dec_deg) / 2), 2) + cos(radians(f.dec_deg)) * cos(radians(t.dec_deg)) * pow(sin(radians(t.ra_deg - f.ra_deg) / 2), 2), 1.0))))"
+@query(rf"""with {CF}, raw as (select id, canonical_name, unnest([canonical_name, display_name] || from_json(catalog_ids_json, '["VARCHAR"]')) as n from targets),
+ a as (select {_name_sql('n')} as alias, min(canonical_name) as target from raw where n is not null group by 1),
+ f as (select id, ra_deg, dec_deg, {_name_sql("regexp_replace(upper(object_raw), '(PANEL[ _-]*|_P)[0-9]+', ' ', 'g')")} as alias, try_cast(nullif(regexp_extract(lower(object_raw), '(?:panel[ _-]*|_p)([0-9]+)', 1), '') as integer) as panel from cf where object_raw is not null),
+ g as (select f.*, target from f left join a using (alias) where alias <> ''),
+ c as (select f.id, t.canonical_name, round({_SEP}, 6) as s from g f join targets t on f.target is null and abs(f.dec_deg - t.dec_deg) <= 1 where {_SEP} <= 1),
+ n as (select id, first(canonical_name order by s, canonical_name) as nearest from c group by 1)
+select g.id, coalesce(target, nearest) as target, panel, case when target is not null then 'alias' when nearest is not null then 'cone' else 'review' end as how from g left join n using (id)""")
+def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.resolve_targets(current(spark, d, "object_raw", "ra_deg", "dec_deg"), read_table(spark, d, "targets"))
 
 
 @query(f"""with {CF}, f as (select distinct id, ra_deg, dec_deg from cf where ra_deg is not null and dec_deg is not null)
@@ -412,15 +444,38 @@ def detect_sessions(spark: SparkSession, d: str) -> DataFrame:
     return micros(analytics.detect_sessions(current(spark, d, "equipment_profile_id", "date_obs_utc", "target_id")))
 
 
-@query(None)
+_MILLI = ("exposure_seconds", "gain", "offset_adu", "binning_x", "set_temp")
+
+
+def _group_key(first: Column) -> Column:
+    """Text of what frames of one calibration group have in common; numbers in thousandths."""
+    number = lambda c: F.coalesce(F.round(F.col(c) * 1000).cast("bigint").cast("string"), F.lit("?"))
+    return F.concat_ws("|", first, F.coalesce("camera", F.lit("?")), *[number(c) for c in _MILLI], F.coalesce("filter_raw", F.lit("?")))
+
+
+_GROUP_SQL = "coalesce(camera, '?') || '|' || " + " || '|' || ".join(f"coalesce(cast(cast(round({c} * 1000) as bigint) as varchar), '?')" for c in _MILLI) + " || '|' || coalesce(filter_raw, '?')"
+_CAL_COLS = "camera, exposure_seconds, gain, offset_adu, binning_x, set_temp, filter_raw"
+_CAL_SCORE = "-round(0.5 * (1 - least(coalesce(abs(l.set_temp - m.set_temp), 2.0) / 2.0, 1.0)) + 0.3 * coalesce(exp(-abs(date_diff('day', m.at, l.at)) / 30.0), 0) + 0.2 * least(m.n / 30.0, 1.0), 9)"
+
+
+@query(rf"""with {CF}, f as (select *, lower(trim(regexp_replace(camera_raw, '\s+', ' ', 'g'))) as camera from cf),
+ l as (select session_id || '|' || {_GROUP_SQL} as group_id, {_CAL_COLS}, cast(min(date_obs_utc) as date) as at from f where frame_type = 'light' and session_id is not null group by all),
+ m as (select frame_type || '|' || {_GROUP_SQL} || '|' || coalesce(cast(cast(date_obs_utc - interval 12 hours as date) as varchar), '?') as master_id, frame_type as kind, {_CAL_COLS}, cast(min(date_obs_utc) as date) as at, count(*) as n from f where frame_type in ('dark', 'flat', 'bias') group by all),
+ j as (select l.group_id, m.kind, {_CAL_SCORE} as s, m.master_id, abs(date_diff('day', m.at, l.at)) as days from l join m on l.camera = m.camera and l.binning_x is not distinct from m.binning_x and (
+   (m.kind = 'dark' and l.exposure_seconds = m.exposure_seconds and l.gain is not distinct from m.gain and l.offset_adu is not distinct from m.offset_adu and coalesce(abs(l.set_temp - m.set_temp) <= 2.0, true))
+   or (m.kind = 'bias' and l.gain is not distinct from m.gain and l.offset_adu is not distinct from m.offset_adu) or (m.kind = 'flat' and l.filter_raw is not distinct from m.filter_raw))),
+ b as (select group_id, kind, min(s) as s, first(master_id order by s, master_id) as master_id, first(days order by s, master_id) as days from j group by 1, 2),
+ e as (select distinct group_id, unnest(['dark', 'bias', 'flat']) as kind from l),
+ r as (select group_id, kind, master_id, round(-s, 6) as score, case when master_id is null then 'missing' when kind = 'flat' and days > 30 then 'stale' else 'complete' end as status from e left join b using (group_id, kind))
+select *, case when count(*) filter (where status = 'missing') over w = 3 then 'missing' when count(*) filter (where status = 'missing') over w > 0 then 'partial' when count(*) filter (where status = 'stale') over w > 0 then 'stale' else 'complete' end as group_status from r window w as (partition by group_id)""")
 def calibration_match(spark: SparkSession, d: str) -> DataFrame:
-    f = cut_lineage(current(spark, d, "frame_type", "camera_raw", "exposure_seconds", "gain", "binning_x", "set_temp", "filter_raw", "date_obs_utc", "session_id"))
-    camera = F.lower(F.trim(F.regexp_replace("camera_raw", r"\s+", " ")))
-    lights = f.where("frame_type = 'light' and session_id is not null").groupBy("session_id", camera.alias("camera"), F.col("exposure_seconds").alias("exposure"), "gain", F.col("binning_x").alias("binning"), F.col("set_temp").alias("temp"), F.col("filter_raw").alias("filter")).agg(F.min("date_obs_utc").alias("at"))
-    lights = lights.withColumn("group_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("session_id", "camera", "exposure", "gain", "binning", "temp", "filter")]), 256))
-    masters = f.where("frame_type in ('dark', 'flat', 'bias')").groupBy(F.col("frame_type").alias("kind"), camera.alias("camera"), F.col("exposure_seconds").alias("exposure"), "gain", F.col("binning_x").alias("binning"), F.col("set_temp").alias("temp"), F.col("filter_raw").alias("filter"), scalar.astro_day(F.col("date_obs_utc")).alias("night")).agg(F.min("date_obs_utc").alias("at"), F.count(F.lit(1)).alias("sub_count"))
-    masters = masters.withColumn("master_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("kind", "camera", "exposure", "gain", "binning", "temp", "filter", "night")]), 256)).drop("night")
-    return analytics.match_calibration(lights, masters)
+    f = current(spark, d, "frame_type", "camera_raw", *_MILLI, "filter_raw", "date_obs_utc", "session_id")
+    f = cut_lineage(f.withColumn("camera", F.lower(F.trim(F.regexp_replace("camera_raw", r"\s+", " ")))).drop("camera_raw"))
+    named = [F.col("camera"), F.col("exposure_seconds").alias("exposure"), F.col("gain"), F.col("offset_adu").alias("offset"), F.col("binning_x").alias("binning"), F.col("set_temp").alias("temp"), F.col("filter_raw").alias("filter")]
+    lights = f.where("frame_type = 'light' and session_id is not null").groupBy(_group_key(F.col("session_id")).alias("group_id"), *named).agg(F.min("date_obs_utc").alias("at"))
+    night = F.coalesce(scalar.astro_day(F.col("date_obs_utc")).cast("string"), F.lit("?"))
+    masters = f.where("frame_type in ('dark', 'flat', 'bias')").groupBy(F.concat_ws("|", _group_key(F.col("frame_type")), night).alias("master_id"), F.col("frame_type").alias("kind"), *named)
+    return analytics.match_calibration(lights, masters.agg(F.min("date_obs_utc").alias("at"), F.count(F.lit(1)).alias("sub_count")))
 
 
 @query(f"""with {CF}, l as (select * from cf where frame_type = 'light')
@@ -545,11 +600,11 @@ def migration_copy(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("scan").alias("job_type"), F.lit(None).cast("string").alias("payload_json"), F.lit(0).alias("priority"), F.col("o_orderdate").alias("created_at"))
 
 
-@query("""with r as (select equipment_profile_id as name, cast(date_obs_utc - interval 12 hours as date) as night, count(*) as n from frames where equipment_profile_id is not null and date_obs_utc is not null group by 1, 2),
+@query(f"""with {CF}, r as (select equipment_profile_id as name, cast(date_obs_utc - interval 12 hours as date) as night, count(*) as n from cf where equipment_profile_id is not null and date_obs_utc is not null group by 1, 2),
  c as (select name, avg(n) as value from r where night >= date '2026-03-15' group by 1), b as (select name, avg(n) as value from r where night < date '2026-03-15' group by 1)
 select name, round(c.value, 6) as current, round(b.value, 6) as base, round((c.value - b.value) / b.value, 6) as change, case when b.value is null then 'NEW' when c.value is null then 'MISSING' when (c.value - b.value) / b.value < -0.2 then 'REGRESSED' else 'OK' end as status from c full join b using (name)""")
 def bench_compare(spark: SparkSession, d: str) -> DataFrame:
-    f = read_table(spark, d, "frames").where("equipment_profile_id is not null and date_obs_utc is not null")
+    f = current(spark, d, "equipment_profile_id", "date_obs_utc").where("equipment_profile_id is not null and date_obs_utc is not null")
     r = f.groupBy(F.col("equipment_profile_id").alias("name"), scalar.astro_day(F.col("date_obs_utc")).alias("night")).agg(F.count(F.lit(1)).alias("n"))
     half = lambda cond: r.where(cond).groupBy("name").agg(F.avg("n").alias("value"))
     c = rollups.compare_runs(half("night >= date '2026-03-15'"), half("night < date '2026-03-15'"))

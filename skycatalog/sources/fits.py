@@ -6,6 +6,7 @@ BAD_CONTINUE, TRUNCATED_HEADER, MISSING_END.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -65,7 +66,10 @@ def _value(text: str) -> tuple[Value, bool]:
     if token in ("T", "F"):
         return token == "T", False
     if NUMBER.match(token):
-        return float(re.sub("[Dd]", "E", token, count=1)), False
+        number = float(re.sub("[Dd]", "E", token, count=1))
+        if not math.isfinite(number):
+            raise HeaderError("INVALID_CARD", f"number out of range: {token[:20]}")
+        return number, False
     raise HeaderError("INVALID_CARD", f"no FITS value: {token[:20]}")
 
 

@@ -5,6 +5,7 @@ Outcomes: 'ok' (fields may be NULL), or EMPTY_FILE, TRUNCATED_HEADER, UNRECOGNIZ
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass, field
 
@@ -47,6 +48,7 @@ def _tag_value(data: bytes, order: str, kind: int, count: int, where: int):
         values = list(struct.unpack(f"{order}{count}{FORMATS[kind]}", body))
     else:
         return f"<{count} bytes>"
+    values = [None if isinstance(v, float) and not math.isfinite(v) else v for v in values]
     return values[0] if len(values) == 1 else values
 
 

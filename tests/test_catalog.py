@@ -1,6 +1,7 @@
 """State changes, search, queue, snapshots, streams and the scan from folder to catalog."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -86,6 +87,35 @@ def test_frame_records_are_strict_about_types(spark):
     assert r[1].exposure_seconds is None and r[2].object is None
 
 
+def test_records_of_all_formats_agree(spark):
+    heads = [
+        ("fits", {"OBJECT": "M 31", "EXPTIME": 300, "CCD-TEMP": -10.0, "GAIN": 100, "DATE-OBS": "2026-01-01T00:00:00", "INSTRUME": "Cam"}),
+        ("xisf", {"OBJECT": "M 31", "EXPTIME": "300", "CCD-TEMP": " -10 ", "GAIN": "100", "DATE-OBS": "2026-01-01T00:00:00", "INSTRUME": "Cam", "AIRMASS": "Infinity"}),
+        ("xisf", {"prop:Observation:Object:Name": "M 31", "prop:Instrument:ExposureTime": "300", "EXPOSURE": "7", "prop:Instrument:Sensor:Temperature": "-10", "GAIN": "100", "prop:Observation:Time:Start": "2026-01-01T00:00:00", "INSTRUME": "Cam"}),
+        ("raw", {"ExposureTime": 300, "ISO": 100, "DateTimeOriginal": "2026:01:01 00:00:00", "Make": "Cam", "Model": None}),
+    ]
+    rows = spark.createDataFrame([(i, f, json.dumps(h)) for i, (f, h) in enumerate(heads)], "id int, format string, h string")
+    got = frames.frame_records(rows, "h", ["id"], format=F.col("format")).orderBy("id").collect()
+    assert {(r.exposure_seconds, r.gain, r.date_obs, r.instrument) for r in got} == {(300.0, 100.0, "2026-01-01T00:00:00", "Cam")}
+    assert [(r.object, r.ccd_temp, r.airmass) for r in got] == [("M 31", -10.0, None)] * 3 + [(None, None, None)]
+
+
+def test_calibration_states(spark):
+    day = lambda n: T + dt.timedelta(n)
+    s = "camera string, exposure double, gain double, offset double, binning int, temp double, filter string, at timestamp"
+    lights = spark.createDataFrame([("g1", "c", 300.0, 1.0, 5.0, 1, -10.0, "Ha", day(0)), ("g2", "c", 60.0, 1.0, 5.0, 1, None, None, day(0)), ("g3", "other", 60.0, 1.0, 5.0, 1, 0.0, "L", day(0))], f"group_id string, {s}")
+    masters = [
+        ("d2", "dark", "c", 300.0, 1.0, 5.0, 1, -10.0, None, day(1), 30), ("d1", "dark", "c", 300.0, 1.0, 5.0, 1, -10.0, None, day(-1), 30), ("d0", "dark", "c", 300.0, 1.0, 5.0, 1, -12.5, None, day(0), 30),
+        ("b1", "bias", "c", 0.0, 1.0, 5.0, 1, None, None, day(90), 9), ("f1", "flat", "c", 2.0, 7.0, 0.0, 1, None, "Ha", day(-40), 9),
+    ]
+    got = analytics.match_calibration(lights, spark.createDataFrame(masters, f"master_id string, kind string, {s}, sub_count long")).collect()
+    assert {(r.group_id, r.kind): (r.master_id, r.status) for r in got} == {
+        ("g1", "dark"): ("d1", "complete"), ("g1", "bias"): ("b1", "complete"), ("g1", "flat"): ("f1", "stale"),
+        ("g2", "dark"): (None, "missing"), ("g2", "bias"): ("b1", "complete"), ("g2", "flat"): (None, "missing"), **{("g3", k): (None, "missing") for k in ("dark", "bias", "flat")},
+    }
+    assert {r.group_id: r.group_status for r in got} == {"g1": "stale", "g2": "partial", "g3": "missing"}
+
+
 def test_queue(spark):
     s = "id int, status string, priority int, created_at timestamp, worker_id string, started_at timestamp"
     q = spark.createDataFrame([(1, "queued", -1, T, None, None), (3, "queued", 0, T, None, None), (2, "queued", 0, T, None, T), (4, "running", 9, T, "w", T)], s)
@@ -119,12 +149,16 @@ def entities(spark):
     ],
 )
 def test_search(spark, query, ids):
-    assert {r.entity_id for r in search.search(entities(spark), query).collect()} == ids
+    rows = search.search(entities(spark), query).collect()
+    assert {r.entity_id for r in rows} == ids and rows == sorted(rows, key=lambda r: (-r.score, r.entity_type, r.entity_id))
 
 
 def test_compare_and_sync(spark):
     cur = spark.createDataFrame([("a", 79.0), ("b", 80.0), ("c", 5.0)], "name string, value double")
     base = spark.createDataFrame([("a", 100.0), ("b", 100.0), ("d", 5.0)], "name string, value double")
+    for wrong in (cur.withColumn("unit", F.lit("s")), cur.unionByName(cur)):
+        with pytest.raises(Exception, match="units differ|repeated metric"):
+            rollups.compare_runs(wrong, base.withColumn("unit", F.lit("ms"))).collect()
     assert {r.name: r.status for r in rollups.compare_runs(cur, base).collect()} == {"a": "REGRESSED", "b": "OK", "c": "NEW", "d": "MISSING"}
     rep = spark.createDataFrame([("k", 1, "x", None), ("k", 2, None, "y"), ("k", 3, "z", None)], "id string, at int, p string, q string")
     assert tuple(rollups.last_writer_wins(rep, "id", "at", ["p", "q"]).first()) == ("k", 3, "z", "y")
@@ -266,11 +300,15 @@ def test_exports_facets_and_provenance(spark, tmp_path):
     rows = ids.withColumn("ok", is_uuid(F.col("u"))).orderBy("id").collect()
     assert all(r.ok for r in rows) and [r.u for r in rows] == sorted(r.u for r in rows) and len({r.u for r in rows}) == 50
 
-    (tmp_path / "b.json").write_text('{"recordedAt": "2026-01-01T00:00:00Z", "metrics": [{"name": "a", "unit": "s", "value": 2.0, "samples": [1.0]}]}')
-    assert [tuple(r) for r in export.read_baseline(spark, str(tmp_path / "b.json")).collect()] == [("a", "s", 2.0)]
-    (tmp_path / "bad.json").write_text('{"metrics": [{"name": "a", "value": -1.0}]}')
-    with pytest.raises(Exception, match="bad metric"):
-        export.read_baseline(spark, str(tmp_path / "bad.json")).collect()
+    metric = {"name": "a", "unit": "rows/sec", "value": 2.0, "higherIsBetter": True, "samples": [1.0, 3.0]}
+    file = {"schemaVersion": 1, "generatedAt": "2026-01-01T00:00:00.000Z", "results": [metric]}
+    (tmp_path / "b.json").write_text(json.dumps(file))
+    assert [tuple(r) for r in export.read_baseline(spark, str(tmp_path / "b.json")).collect()] == [("a", "rows/sec", 2.0)]
+    for bad in ({"results": [{**metric, "value": -1.0}]}, {"results": [metric, metric]}, {"results": [{**metric, "unit": "s"}]}, {"results": [{**metric, "more": 1}]}, {"schemaVersion": 2}, {"generatedAt": "now"}, {"extra": 1}):
+        (tmp_path / "bad.json").write_text(json.dumps({**file, **bad}))
+        with pytest.raises(Exception, match="bad baseline"):
+            export.read_baseline(spark, str(tmp_path / "bad.json")).collect()
+    assert [r.t for r in spark.createDataFrame([(-0.2046,), (None,)], "c double").select(export.change_label(F.col("c")).alias("t")).collect()] == ["-20.5%", "-"]
 
     t = lambda rows_, s: spark.createDataFrame(rows_, s)
     got = export.trace_back(

@@ -39,6 +39,7 @@ def test_continue():
         (header("exptime = 1"), "INVALID_CARD"),
         (header("EXP TIME= 1"), "INVALID_CARD"),
         (header("EXPTIME = three hundred"), "INVALID_CARD"),
+        (header("EXPTIME =                1E999"), "INVALID_CARD"),
         (header("C       = (1,2)"), "INVALID_CARD"),
         (header("A       = 'open"), "INVALID_CARD"),
         (header("A       = 'x' junk"), "INVALID_CARD"),

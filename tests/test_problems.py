@@ -91,6 +91,8 @@ def test_sessions_edges(spark):
     assert run_sessions(spark, []) == []
     rows = [("a", "k", at(0), None), ("a", "k", at(0), None), (None, "k", at(5), "x"), ("b", None, at(5), "x"), ("c", "k", None, "x"), ("d", "k", at(0), "x"), ("e", "k", at(101), "x")]
     assert [(r[3], r[4]) for r in run_sessions(spark, rows)] == [(2, 1), (1, 1)]
+    twice = [("a", "k", at(0), "x"), ("a", "k", None, "y"), ("b", "k", at(1), "x"), ("b", "k", at(1), "z")]
+    assert [(r[3], r[4]) for r in run_sessions(spark, twice)] == [(2, 2)]  # an id with several values is one event
 
 
 # ---- schema drift

@@ -60,8 +60,8 @@ def test_entry(spark):
 
 def test_scans_read_what_is_needed(spark):
     plan = catalog.integration_rollup(spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(frame_type,light)" in plan
+    assert "IsNotNull(id)" in plan
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
-    assert set(re.findall(r"(\w+):", schema)) == {"frame_type", "target_id", "filter_id", "exposure_seconds"}
+    assert set(re.findall(r"(\w+):", schema)) == {"id", "updated_at", "frame_type", "target_id", "filter_id", "exposure_seconds"}
     rules_plan = catalog.classify_frames(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in rules_plan
