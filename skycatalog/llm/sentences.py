@@ -5,16 +5,22 @@ all texts; each period is then classified with these statistics.
 
 One pass over the documents gives, per Arrow batch, (a) every place where a sentence may start, with the word before and
 after it, and (b) word counts already added up.  Statistics and decisions are joins and aggregations of these rows; no
-vocabulary is collected.  Marks that end a sentence by themselves (! ? … 。 ।) are settled in that pass, as are blanks in Thai.
+vocabulary is collected.  Marks that end a sentence by themselves (those that Unicode calls sentence terminals, without the
+period) are settled in that pass, as are blanks in Thai.  The pass is linear in the length of a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +39,19 @@ ATTRIBUTION = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió|написа
 HEADER_FIELD = re.compile(r"(?:From|To|Cc|Bcc|Date|Sent|Subject|Reply-To|Received|Message-ID|References|In-Reply-To|MIME-Version|Content-[\w-]+|X-[\w-]+):\s", re.I)
 OPENERS, CLOSERS = "\"'«“„‘‚(¿¡「『（《[", "\"'»”’“)」』）》]"
 PAIRS = {"”": "“", "」": "「", "』": "『", "）": "（", "》": "《"}
-LATIN_END = re.compile(r"(?P<mark>[.!?…؟۔।;]+)(?P<close>\s»|[\"'»”’“)\]]*)(?P<gap>\s+)")
+# Unicode's sentence terminals but for the wide ones, the ellipsis, and the semicolon that Greek asks with.
+LATIN_END = regex.compile(r"(?V1)(?P<mark>[[\p{Sentence_Terminal}…;]--[。！？｡．]]+)(?P<close>\s»|[\"'»”’“)\]]*)(?P<gap>\s+)")
 WIDE = re.compile(r"[。！？…“”「」『』（）《》]")
 WIDE_TEXT = re.compile(r"[぀-ヿ㐀-鿿！-｠。、]")
 THAI_GAP = re.compile(r"\s+")
 
-SCHEMA = "kind string, doc_id bigint, start_char int, lang string, script string, tok string, nxt string, shape string, upper_mid bigint, lower bigint, dotted bigint, plain bigint"
+FIRST = re.compile(r"\S*?([^\W_])")
+NONSPACE, WORDLETTERS = re.compile(r"\S+"), re.compile(r"\w*")
+OPEN_QUOTE = re.compile(r"[\"«“„]")
+#: Letters up to which a word stands for itself in the counts; of longer ones a digest is counted.
+LONG_WORD = 40
+
+SCHEMA = "kind string, doc_id bigint, row bigint, start_char int, lang string, script string, tok string, nxt string, shape string, upper_mid bigint, lower bigint, dotted bigint, plain bigint"
 
 
 def paragraphs(raw: str) -> Iterator[tuple[int, int]]:
@@ -67,21 +80,19 @@ def paragraphs(raw: str) -> Iterator[tuple[int, int]]:
             yield first, last
 
 
+@lru_cache(maxsize=1 << 16)
 def script_of(ch: str) -> str:
-    o = ord(ch)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00:
-        return "Latn"
-    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return "Grek"
-    if 0x400 <= o < 0x530:
-        return "Cyrl"
-    if 0x600 <= o < 0x780:
-        return "Arab"
-    if 0x900 <= o < 0x980:
-        return "Deva"
-    if 0xE00 <= o < 0xE80:
-        return "Thai"
-    return "Hani" if 0x3040 <= o < 0xA000 else "Zyyy"
+    """Script of a letter by the first word of its Unicode name; anything else counts as Latin."""
+    return unicodedata.name(ch, "LATIN").split(" ", 1)[0] if ch.isalpha() else "LATIN"
+
+
+def in_thai(ch: str) -> bool:
+    return unicodedata.name(ch, "").startswith("THAI ")
+
+
+def counted(word: str) -> str:
+    """The word, or its beginning with a digest of all of it where it is long."""
+    return word if len(word) <= LONG_WORD else word[:LONG_WORD] + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def wide_starts(text: str) -> list[int]:
@@ -119,16 +130,12 @@ def wide_starts(text: str) -> list[int]:
 
 def _first_letter(text: str, at: int) -> str:
     """First letter or digit of the word at `at`, '' if there is none."""
-    for ch in text[at : at + 12]:
-        if ch.isalnum():
-            return ch
-        if ch.isspace():
-            return ""
-    return ""
+    m = FIRST.match(text, at)
+    return m[1] if m else ""
 
 
 def _capitals(text: str, at: int) -> bool:
-    word = re.match(r"\w*", text[at:])[0]
+    word = WORDLETTERS.match(text, at)[0]
     return len(word) > 1 and word.isupper()
 
 
@@ -140,24 +147,34 @@ def _brand(text: str, at: int) -> bool:
     return BRAND.match(text, at) is not None
 
 
-def _quoted_inside(text: str, at: int) -> bool:
-    """True if the last quotation before `at` opened in the middle of a sentence."""
-    opened = max(text.rfind(q, 0, at) for q in "\"«“„")
-    before = text[:opened].rstrip() if opened > 0 else ""
-    return bool(before) and before[-1] not in ".!?…:"
+def _quoted_inside(text: str, quotes: list[int], at: int) -> bool:
+    """True if the last quotation before `at` opened in the middle of a sentence; `quotes` are the places of opening marks."""
+    k = bisect_left(quotes, at)
+    before = quotes[k - 1] if k else 0
+    while before > 0 and text[before - 1].isspace():
+        before -= 1
+    return before > 0 and text[before - 1] not in ".!?…:"
+
+
+def _word_before(text: str, at: int) -> str:
+    left = at
+    while left and not text[left - 1].isspace():
+        left -= 1
+    return text[left:at].lstrip(OPENERS)
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(offset of the next word, shape, word before, word after): shape 'sure' or the case of the next word: U, C (all in capitals), d, n; i for an initial."""
     for at in wide_starts(text) if WIDE_TEXT.search(text) else ():
         yield at, "sure", "", ""
+    quotes = [m.start() for m in OPEN_QUOTE.finditer(text)]
     for m in LATIN_END.finditer(text):
         end, mark = m.end(), m["mark"]
         if end >= len(text):
             break
         at = m.start()
         before = text[at - 1] if at else " "
-        if ";" in mark and script_of(before) != "Grek":
+        if ";" in mark and script_of(before) != "GREEK":
             continue
         ch = _first_letter(text, end)
         if not ch or (ch.islower() and not _brand(text, end)) or ")" in m["close"]:
@@ -166,24 +183,23 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
             continue
         if mark != ".":
             apart = m["close"][:1].isspace()  # French sets its quotation marks apart
-            if m["close"] and ch.isupper() and (apart or _capitals(text, end)) and _quoted_inside(text, at):
+            if m["close"] and ch.isupper() and (apart or _capitals(text, end)) and _quoted_inside(text, quotes, at):
                 continue
             yield end, "sure", "", ""
             continue
-        left = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at), text.rfind("\t", 0, at)) + 1
-        word = text[left:at].lstrip(OPENERS)
-        right = re.match(r"\S+", text[end:])[0].lstrip(OPENERS)
-        follow = re.match(r"\w+", right)
-        nxt = (follow[0] if follow else right)[:40]
+        word = _word_before(text, at)
+        right = NONSPACE.match(text, end)[0].lstrip(OPENERS)
+        follow = WORDLETTERS.match(right)[0]
+        nxt = follow or right
         shape = "d" if ch.isdigit() else "U" if ch.isupper() or ch.islower() else "n"
         if shape == "U" and len(nxt) > 1 and nxt.isupper() and word.isupper():
             shape = "C"  # in capitals throughout, the case of the next word tells nothing
         if len(nxt) == 1 and nxt.isalpha() and right[1:2] == ".":
             shape = "i"
-        yield end, shape, word[:40], nxt
+        yield end, shape, counted(word), counted(nxt)
     for m in THAI_GAP.finditer(text):  # in Thai a blank not beside a digit
         a, b = m.start() - 1, m.end()
-        if a >= 0 and b < len(text) and "Thai" in (script_of(text[a]), script_of(text[b])) and not text[a].isdigit() and not text[b].isdigit() and text[a] not in ".!?…;":
+        if a >= 0 and b < len(text) and (in_thai(text[a]) or in_thai(text[b])) and not text[a].isdigit() and not text[b].isdigit() and text[a] not in ".!?…;":
             yield b, "sure", "", ""
 
 
@@ -201,9 +217,9 @@ def _count(text: str, lang: str, counts: Counter) -> None:
             continue
         dot = core.endswith(".") and not core.endswith("..")
         core = core.rstrip(".")
-        if core and (core[0].isalpha() or core[-1].isalpha() or core.isdigit()) and len(core) <= 40 and not WIDE_TEXT.search(core):
+        if core and (core[0].isalpha() or core[-1].isalpha() or core.isdigit()) and not WIDE_TEXT.search(core):
             lower = core[0].islower() and not BRAND.match(core)
-            counts[lang, script_of(core[0]), core.lower(), dot, lower, core[0].isupper() and not fresh] += 1
+            counts[lang, script_of(core[0]), counted(core.lower()), dot, lower, core[0].isupper() and not fresh] += 1
         fresh = w[-1] in ".!?…:;\"»”" or w[-1] in CLOSERS
 
 
@@ -211,14 +227,14 @@ def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     for pdf in batches:
         rows, counts = [], Counter()
-        for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
+        for doc_id, row, text, lang in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["lang"], strict=True):
             if not text:
                 continue
             lang = lang if isinstance(lang, str) else ""
             for name in NAME_FIELD.findall(text):
                 for w in name.replace('"', " ").split():
                     if w[0].isupper():
-                        counts[lang, script_of(w[0]), w.lower()[:40], False, False, True] += 1
+                        counts[lang, script_of(w[0]), counted(w.lower()), False, False, True] += 1
             for a, b in paragraphs(text):
                 para = text[a:b]
                 _count(para, lang, counts)
@@ -226,9 +242,9 @@ def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for at, shape, tok, nxt in candidates(para):
                     if at not in done:
                         done.add(at)
-                        rows.append(("at", doc_id, a + at, lang, script_of(tok[0]) if tok else "", tok, nxt, shape, 0, 0, 0, 0))
+                        rows.append(("at", doc_id, row, a + at, lang, script_of(tok[0]) if tok else "", tok, nxt, shape, 0, 0, 0, 0))
         for (lang, script, word, dot, lower, mid), n in counts.items():
-            rows.append(("word", 0, 0, lang, script, word, "", "", n * mid, n * lower, n * dot, n * (not dot)))
+            rows.append(("word", 0, 0, 0, lang, script, word, "", "", n * mid, n * lower, n * dot, n * (not dot)))
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -255,16 +271,27 @@ def _llr(both: Column, first: Column, second: Column, total: Column) -> Column:
     return F.when(k1 * n2 > k2 * n1, 2 * (joint - apart)).otherwise(0.0)
 
 
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """Tells texts under one id apart; equal texts have equal sentences."""
+    return F.xxhash64(doc_id, text)
+
+
 def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, start_char): code-point offset of each sentence that follows another in its paragraph.
 
     NULL and empty texts have none; a NULL language is one of its own.  Repeated documents give their rows again; ids need not be
     unique.  Other columns are ignored; an empty table gives an empty result.
     """
+    return _starts(docs, doc_id=doc_id, text=text, lang=lang).select("doc_id", "start_char")
+
+
+def _starts(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(doc_id, row, start_char); `row` is the key of the text."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.when(F.col(lang) == "und", None).otherwise(F.col(lang)).alias("lang"))
-    rows = cut_lineage(src.where("text is not null and text <> ''").mapInPandas(scan_batches, SCHEMA))
-    at = rows.where("kind = 'at'").select("doc_id", "start_char", "lang", "script", F.lower("tok").alias("tok"), F.col("tok").alias("word"), "nxt", "shape")
-    sure = at.where("shape = 'sure'").select("doc_id", "start_char")
+    src = src.where("text is not null and text <> ''").withColumn("row", _text_key(F.col("doc_id"), F.col("text")))
+    rows = cut_lineage(src.mapInPandas(scan_batches, SCHEMA))
+    at = rows.where("kind = 'at'").select("doc_id", "row", "start_char", "lang", "script", F.lower("tok").alias("tok"), F.col("tok").alias("word"), "nxt", "shape")
+    sure = at.where("shape = 'sure'").select("doc_id", "row", "start_char")
 
     words = cut_lineage(
         rows.where("kind = 'word'").withColumn("lang", F.coalesce("lang", F.lit(""))).groupBy("lang", "script", "tok").agg(*[F.sum(c).alias(c) for c in ("upper_mid", "lower", "dotted", "plain")])
@@ -276,6 +303,7 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     uses = period.groupBy("lang", "script", "tok", "word", "nxt", "shape").agg(F.count(F.lit(1)).alias("n"))
     uses = uses.join(own, ["lang", "script", "tok"], "left").join(pooled, ["script", "tok"], "left")
     initial = F.col("tok").rlike(r"^\p{L}(?:\.\p{L})*$")
+    uses = uses.join(words.select("lang", "script", "tok", "plain"), ["lang", "script", "tok"], "left")
     uses = uses.withColumn("abbr", F.coalesce("own", "pooled", F.lit(False)) | initial).withColumn("own", F.coalesce("own", F.lit(False))).drop("pooled")
 
     # orthography of the next word: in its language, else in its script
@@ -285,7 +313,7 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     local = F.coalesce(F.col("um"), F.lit(0)) + F.coalesce(F.col("lo"), F.lit(0)) > 0
     um, lo = F.when(local, F.col("um")).otherwise(F.coalesce("um_all", F.lit(0))), F.when(local, F.col("lo")).otherwise(F.coalesce("lo_all", F.lit(0)))
     u = u.withColumn("open", F.when(um + lo == 0, None).otherwise(lo > um))
-    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "own", "abbr", "open"))
+    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "own", "abbr", "open", "plain"))
 
     # what follows an abbreviation: its own tendency, in the language, else in those of the script where it was learned as one
     upper = u.where("shape = 'U'")
@@ -312,7 +340,7 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     goes = lambda num, n: (_llr(F.col(num), F.col(n), F.col("lang_num"), F.col("lang_n")) >= COLLOCATION) & (F.col(num) > 0.5 * F.col(n))
     before_number = goes("tok_num", "tok_n") | goes("all_num", "all_tok_n")
     is_ordinal = F.col("tok").rlike(r"^\d{1,2}$") & (F.coalesce("ordinal", F.lit(0.0)) >= ORDINAL_SHARE)
-    wordlike = F.col("word").rlike(r"^(?U)\p{L}[\p{Ll}'’-]*[aeiouyäöüáéíóúàèаеиоуыэюяαεηιουω][\p{Ll}'’-]*$") & (F.length("word") > 3)
+    wordlike = F.col("word").rlike(r"^(?U)\p{L}[\p{Ll}'’-]*$") & (F.length("word") > 3) & (F.coalesce("plain", F.lit(0)) > 0)  # also written without a period
     yes = (
         F.when(is_ordinal | (F.col("shape") == "i") & F.col("abbr"), False)
         .when(F.col("shape") == "d", F.when(F.col("abbr"), F.coalesce(tends, F.lit(False))).otherwise(~before_number))
@@ -325,14 +353,15 @@ def sentence_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         .otherwise(wordlike)
     )
     verdicts = v.where(yes).select("lang", "script", "word", "nxt", "shape")
-    held = period.join(verdicts, ["lang", "script", "word", "nxt", "shape"], "left_semi").select("doc_id", "start_char")
+    held = period.join(verdicts, ["lang", "script", "word", "nxt", "shape"], "left_semi").select("doc_id", "row", "start_char")
     return sure.unionByName(held)
 
 
 def sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, start_char, end_char, sentence): the sentence units of every document, in paragraphs of running text."""
-    marked = sentence_starts(docs, doc_id=doc_id, text=text, lang=lang).groupBy("doc_id").agg(F.array_sort(F.collect_set("start_char")).alias("starts"))
+    marked = _starts(docs, doc_id=doc_id, text=text, lang=lang).groupBy("row").agg(F.array_sort(F.collect_set("start_char")).alias("starts"))
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
+    src = src.withColumn("row", _text_key(F.col("doc_id"), F.col("text")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -348,4 +377,4 @@ def sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
                             out.append((i, at, at + len(s), " ".join(s.split())))
             yield pd.DataFrame(out, columns=["doc_id", "start_char", "end_char", "sentence"])
 
-    return src.join(marked, "doc_id", "left").mapInPandas(cut, "doc_id bigint, start_char int, end_char int, sentence string")
+    return src.join(marked, "row", "left").mapInPandas(cut, "doc_id bigint, start_char int, end_char int, sentence string")
