@@ -107,19 +107,23 @@ class BKTree:
 
 # ---- forms of a value ------------------------------------------------------------------------------------------------------
 
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma"}
+# Remarks, sizes and articles beside a name.
 NOISE = re.compile(
     r"\((?:old|new|test|[a-z]{1,3} test)\)|#\d+|\b\d+(?:\.\d+)?\s*(?:mm|in|inch)\b|\d+(?:\.\d+)?\s*[\"”]|\bthe\b", re.I
 )
 BANDWIDTH = (re.compile(r"(?<!\d)\d{1,2}(?:\.\d+)?\s*nm\b", re.I), re.compile(r"\d(?:\.\d+)?\s*nm\b", re.I))
 
 
+def _spelled(ch: str) -> str:
+    """A Greek letter by its name, any other as it is."""
+    name = unicodedata.name(ch, "")
+    return name.rsplit(" ", 1)[1].lower() if name.startswith("GREEK ") and " LETTER " in name else ch
+
+
 def plain(text: str) -> str:
     """Compatibility form, accents and Greek letters resolved; case is kept."""
-    t = unicodedata.normalize("NFKC", text)
-    for k, v in GREEK.items():
-        t = t.replace(k, v).replace(k.upper(), v)
-    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    t = unicodedata.normalize("NFKD", text)
+    return t if t.isascii() else "".join(_spelled(c) for c in t if not unicodedata.combining(c))
 
 
 def words(text: str) -> list[str]:
@@ -148,6 +152,7 @@ class Matcher:
     def __init__(self, entries: list[tuple[str, str, str]]):
         self.ids: dict[str, str] = {}
         self.names: dict[str, list[tuple[str, str]]] = {}
+        self.longest = 1  # words of the longest entry, and one more where a name is written apart
         prefixes = set()
         for kind, text, canonical in entries:
             flat = plain(text)
@@ -163,6 +168,7 @@ class Matcher:
             self.names.setdefault(whole, []).append((canonical, whole))
             if kind == "titled" and len(w := words(flat)) > 1:  # 'Proper Kind': the proper part alone names it as well
                 self.names.setdefault("".join(w[:-1]), []).append((canonical, whole))
+            self.longest = max(self.longest, len(words(flat)) + 1)
         self.prefixes = frozenset(prefixes)
         self.id_tree, self.name_tree = BKTree(self.ids), BKTree(sorted(self.names))
 
@@ -176,13 +182,13 @@ class Matcher:
         found: list[tuple[int, int, int, int, str]] = []
         for form in forms:
             w = words(form)
-            spans = dict.fromkeys([tuple(w)] + [tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 3) + 1)])
+            spans = dict.fromkeys([tuple(w)] + [tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + self.longest) + 1)])
             whole = "".join(w)
-            for span in spans:
-                q = "".join(span)
-                if not q or (len(q) == 1 and len(w) > 2) or (len(q) < 4 and len(w) > 3):
-                    continue
-                allowed = limit(q)
+            # single letters in long values, and spans under four letters in values of more than three words, name nothing
+            asked = dict.fromkeys(q for q in map("".join, spans) if q and not (len(q) == 1 and len(w) > 2) and not (len(q) < 4 and len(w) > 3))
+            exact = [q for q in asked if q in self.names]
+            for q in exact or asked:
+                allowed = 0 if exact else limit(q)  # radius 0 where some span is an entry: no other can be nearer
                 for _, text in self.name_tree.within(q, 2 * allowed):
                     d = swap_distance(q, text)
                     if d <= min(allowed, limit(text) if len(text) > 3 else (1 if len(q) > 3 else 0)):

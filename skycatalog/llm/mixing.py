@@ -9,10 +9,12 @@ Newton steps run until every target is met.  Rates are then rounded to copies by
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public byte-level vocabularies.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Newton steps at most, and the relative error of a source's tokens at which they end.
-MAX_STEPS, TOLERANCE = 60, 1e-6
+MAX_STEPS, TOLERANCE = 200, 1e-6
 #: Rows of the table of targets.
 MAX_SOURCES = 100_000
 #: Documents of a block in which copies are rounded.
@@ -43,8 +45,10 @@ def _encoding(path: str):
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer_path: str = TOKENIZER_PATH) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; NULL and empty texts have no tokens."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)  # executors need no path of their own
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(tokenizer_path)
+        enc = _encoding(SparkFiles.get(os.path.basename(tokenizer_path)))
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n})
@@ -53,12 +57,12 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return src.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 
-def _solve(hist: DataFrame, goals: dict[str, tuple[float, float, float]]) -> dict[str, float]:
-    """Dual variable of each source: goals gives (tokens wanted, cap, mean tokens)."""
+def _solve(hist: DataFrame, goals: dict[str, tuple[float, float, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Dual variable of each source, and how far its tokens still are from the goal: goals gives (tokens wanted, cap, mean tokens)."""
     spark = hist.sparkSession
     lam = dict.fromkeys(goals, 0.0)
     low, high = dict.fromkeys(goals, -700.0), dict.fromkeys(goals, 700.0)
-    open_ = set(goals)
+    open_, residual = set(goals), dict.fromkeys(goals, float("nan"))
     for _ in range(MAX_STEPS):
         if not open_:
             break
@@ -74,6 +78,7 @@ def _solve(hist: DataFrame, goals: dict[str, tuple[float, float, float]]) -> dic
         for r in got.collect():  # one row a source
             want = goals[r.source][0]
             gap = r.tokens - want
+            residual[r.source] = gap / want
             if abs(gap) <= TOLERANCE * want:
                 open_.discard(r.source)
                 continue
@@ -81,12 +86,13 @@ def _solve(hist: DataFrame, goals: dict[str, tuple[float, float, float]]) -> dic
             step = lam[r.source] - gap / r.slope if r.slope > 0 else float("nan")
             inside_bracket = low[r.source] < step < high[r.source]
             lam[r.source] = step if inside_bracket else (low[r.source] + high[r.source]) / 2
-    return lam
+    return lam, residual
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, tokenizer_path: str = TOKENIZER_PATH) -> tuple[DataFrame, DataFrame]:
     """(copies, shares).  copies(doc_id, source, n_tokens, rate, copies): every document of the target sources.  shares(source, target_share,
-    max_repeats, documents, available_tokens, used_tokens, actual_share): one row a target.
+    max_repeats, documents, available_tokens, used_tokens, actual_share, residual): one row a target; `residual` is the relative distance of
+    the source's rates from its goal before rounding, within TOLERANCE unless MAX_STEPS ended the search.
 
     `total_tokens` is the mixture's size; by default (and at most) the largest that no source's cap prevents.  Sources without tokens
     reach no share, the others keep their proportions.  Documents of NULL or other sources take no part; documents without
@@ -104,7 +110,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     most = min((w.max_repeats * have[w.source][1] * whole / w.target_share for w in live), default=0.0)
     total = min(most * FILL, total_tokens or most * FILL)
     goals = {w.source: (total * w.target_share / whole, float(w.max_repeats), have[w.source][1] / have[w.source][0]) for w in live}
-    lam = _solve(hist, goals)
+    lam, residual = _solve(hist, goals)
     spark = docs.sparkSession
     rows = [(s, lam[s], g[1], g[2], max(1, -(-have[s][0] // BLOCK_DOCS))) for s, g in goals.items()]
     state = spark.createDataFrame(rows, "source string, lam double, cap double, mean double, blocks long")
@@ -122,4 +128,5 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     used = out.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"))
     s = t.join(used, "source", "left").na.fill(0, ["documents", "available_tokens", "used_tokens"])
     everything = used.agg(F.sum("used_tokens")).first()[0] or 0
-    return out, s.withColumn("actual_share", F.col("used_tokens") / F.lit(max(everything, 1)))
+    left = spark.createDataFrame(list(residual.items()), "source string, residual double")
+    return out, s.withColumn("actual_share", F.col("used_tokens") / F.lit(max(everything, 1))).join(F.broadcast(left), "source", "left")

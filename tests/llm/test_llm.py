@@ -68,6 +68,12 @@ def test_canonical_map(spark, monkeypatch, shard):
     assert len(got) == len(rows) - 3
 
 
+def test_names_of_many_words_inside_longer_values():
+    m = canonical.Matcher([("titled", "North Grand Copper Ribbon Nebula", "NG 1"), ("alias", "H-alpha", "Ha")])
+    assert [m.best(v)[2] for v in ("mosaic North Grand Copper Ribbon Nebula", "two NorthGrand Coper Ribbon Nebula west", "Hα")] == ["NG 1", "NG 1", "Ha"]
+    assert m.best("North Grand") is None and canonical.plain("ΩΣς") == "omegasigmasigma"
+
+
 def test_canonical_empty(spark):
     ref = spark.createDataFrame(REF, "domain string, kind string, entry string, canonical string")
     v = spark.createDataFrame([("object", "KX 301")], "domain string, value string")
@@ -119,8 +125,11 @@ def test_leaks_in_any_dress(spark):
     got = find(spark, texts)
     assert set(got) == {(i, 0) for i in (0, 2, 3, 4, 5, 6, 10)}
     assert got[(0, 0)] == ("verbatim", 12) and got[(2, 0)] == ("verbatim", 14) and got[(3, 0)][1] == 15
+    assert got[(10, 0)][0] == "reparameterised"
     strict = find(spark, texts, verbatim_only=True)
-    assert set(strict) == {(i, 0) for i in (0, 2, 3, 4, 5, 6)} or set(strict) == set(got)
+    w99 = " ".join(w).replace("14", "99").replace("Velmar", "Osmere").split()
+    still = any(w[i : i + 12] == w99[i : i + 12] for i in range(len(w) - 11))
+    assert set(strict) == {(i, 0) for i in (0, 2, 3, 4, 5, 6)} | ({(10, 0)} if still else set())
 
 
 def test_leaks_shared_and_none(spark):
@@ -153,7 +162,8 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 
     want = {(d, i) for d, t in enumerate(docs) for i, u in enumerate(items) if longest(t.split(), u.split()) >= 12}
     assert want and set(find(spark, docs, items, verbatim_only=True)) == want
-    monkeypatch.setattr(leaks, "SCAN_FILTER_WINDOWS", 0)  # without the semi-join in the scan
+    monkeypatch.setattr(leaks, "FILTER_BITS", 256)  # a filter that is full
+    monkeypatch.setattr(leaks, "BROADCAST_WINDOWS", 0)
     assert set(find(spark, docs, items, verbatim_only=True)) == want
 
 
@@ -191,7 +201,7 @@ def test_mix_meets_its_shares(spark):
     assert len(rows) == 900 + 300 + 60 + 2 and all(0 <= r.copies <= cap[r.source] and r.rate <= cap[r.source] for r in rows)
     assert set(s) == {"a", "b", "c", "none"} and s["none"].used_tokens == 0
     for k, share in (("a", 0.3), ("b", 0.4), ("c", 0.2)):
-        assert s[k].actual_share == pytest.approx(share / 0.9, rel=0.03)
+        assert s[k].actual_share == pytest.approx(share / 0.9, rel=0.03) and abs(s[k].residual) <= mixing.TOLERANCE
     # rates are tilted exponentially by length below the cap
     import math
 
@@ -287,3 +297,35 @@ def test_sentence_units_cover_the_text(spark):
     rows = sentences.sentences(docs).orderBy("start_char").collect()
     assert [r.sentence for r in rows] == ["One thing.", "Two things!", "Three", "Four"] or [r.sentence for r in rows] == ["One thing.", "Two things! Three"[:11], "Three", "Four"]
     assert all(" ".join(raw[r.start_char : r.end_char].split()) == r.sentence for r in rows)
+
+
+def test_sentence_units_of_texts_under_one_id(spark):
+    a, b = mail("Abc def. Ghi jkl! Mno"), mail("Pq! Rstuvw xyz. Abc")
+    rows = sentences.sentences(spark.createDataFrame([(1, a, "en"), (1, b, "en"), (1, b, "en")], "doc_id long, text string, lang string")).collect()
+    assert sorted(r.sentence for r in rows) == sorted(["Abc def.", "Ghi jkl!", "Mno", *["Pq!", "Rstuvw xyz.", "Abc"] * 2])
+
+
+def test_long_words_are_told_apart():
+    a, b = "x" * 60 + "a", "x" * 60 + "b"
+    assert sentences.counted(a) != sentences.counted(b) and sentences.counted("abc") == "abc"
+
+
+@pytest.mark.parametrize("piece", ['said "Yes" to Orsel. Then ', "kettle. ", "a" * 30 + ". Bcd! ", "-" * 40 + " "])
+def test_the_scan_is_linear(piece):
+    import time
+
+    def took(n):
+        text, best = piece * (n // len(piece)), 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            sum(1 for _ in sentences.candidates(text))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(800_000) < 9 * took(200_000) + 0.05
+
+
+@pytest.mark.parametrize("text, first", [("Ժամը վեց է։ Բարև", "Բարև"), ("ሰላም ነው። ደህና", "ደህና"), ("ဟုတ်ကဲ့။ မင်္ဂလာပါ", "မင်္ဂလာပါ"), ("ফুল ফোটে। আকাশ", "আকাশ")])
+def test_terminals_of_other_scripts(spark, text, first):
+    raw = mail(text)
+    assert starts(spark, [raw]).get(0, set()) == {raw.index(first, raw.index(text))}
