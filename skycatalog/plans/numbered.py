@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycatalog.functions.timestamps import NAMED_OFFSETS
-from skycatalog.operators import nearest_time, schema_drift, sessions, spikes, timestamps
+from skycatalog.operators import schema_drift, sessions, spikes, timestamps
 from skycatalog.session import read_table, squeeze, without_blanks
 
-DARK_TOLERANCE_S = 36 * 3600
-DARK_TEMP_BAND = 2.0
 SESSION_GAP_S = 4 * 3600
 
 
@@ -49,22 +47,6 @@ def p3_uniform(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("failed_casts", F.array_join("failed_casts", ",")).withColumn("rest", F.to_json("rest"))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    frames = read_table(spark, d, "frames")
-    pairs = nearest_time.nearest_in_time(
-        frames.where("frame_type = 'light'"),
-        frames.where("frame_type = 'dark'"),
-        by={"camera": without_blanks("camera_raw"), "exposure": F.col("exposure_seconds")},
-        left_id="id",
-        right_id="id",
-        time="date_obs_utc",
-        tolerance_seconds=DARK_TOLERANCE_S,
-        band=F.col("ccd_temp"),
-        band_width=DARK_TEMP_BAND,
-    )
-    return pairs.select(F.col("left_id").alias("light_id"), F.col("right_id").alias("dark_id"))
-
-
 #: What a sensor and a star measurement can be at all, and the least step that they show (degrees; ratio as logarithm).
 READINGS = [
     spikes.Field("ccd_temp", -100.0, 100.0, False, 0.1),
@@ -113,7 +95,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("key").alias("camera"), ms("start_us").alias("start_ms"), ms("end_us").alias("end_ms"), F.col("event_count").alias("frame_count"), F.col("distinct_count").alias("target_count"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_uniform": p3_uniform, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_status": p5_status, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_uniform": p3_uniform, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_status": p5_status, "p6_found": p6_found}
 
 _NAMED = " ".join(f"when '{k}' then {v}" for k, v in NAMED_OFFSETS.items())
 
@@ -149,13 +131,6 @@ _CAMERA = r"trim(regexp_replace(lower(camera_raw), '\s+', ' ', 'g'))"
 
 ORACLE: dict[str, str] = {
     "p5_found": _P5_SQL,
-    "p1_found": rf"""
-with f as (select distinct id, frame_type, nullif(regexp_replace(lower(camera_raw), '\s+', '', 'g'), '') as camera, exposure_seconds as e, cast(round(ccd_temp * 100) as bigint) as v, date_obs_utc as t
-           from frames where id is not null and camera_raw is not null and exposure_seconds is not null and ccd_temp is not null and date_obs_utc is not null),
-     p as (select l.id as light_id, r.id as dark_id, row_number() over (partition by l.id order by abs(epoch_us(l.t) - epoch_us(r.t)), r.t, r.id) as k
-           from f l join f r on l.camera = r.camera and l.e = r.e and abs(l.v - r.v) <= 200 and abs(epoch_us(l.t) - epoch_us(r.t)) <= 129600000000
-           where l.frame_type = 'light' and r.frame_type = 'dark')
-select light_id, dark_id from p where k = 1""",
     "p6_found": rf"""
 with f as (select distinct id, {_CAMERA} as camera, date_obs_utc as t, target_id from frames where id is not null and camera_raw is not null and date_obs_utc is not null),
      g as (select *, case when epoch_us(t) - epoch_us(lag(t) over (partition by camera order by t)) <= 14400000000 then 0 else 1 end as fresh from f),
