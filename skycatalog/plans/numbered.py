@@ -22,11 +22,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("file").alias("export_file"), "field_path", "change_kind", "new_path")
 
 
-#: Columns of the uniform table: type and the paths known to carry the quantity.
+#: Columns of the uniform table: type, the paths known to carry the quantity, and its unit.
 UNIFORM_FIELDS = {
-    "exposure_seconds": ("double", ["exposureSeconds", "exposureTime", "expTime", "exposure_seconds", "headers.EXPTIME", "headers.EXPOSURE"]),
-    "ccd_temp": ("double", ["ccdTempCelsius", "sensorTemp", "detectorTempC", "ccd_temp", "headers.CCD-TEMP", "headers.DET-TEMP", "headers.CCDTEMP"]),
-    "set_temp": ("double", ["setTempCelsius", "targetTemp", "headers.SET-TEMP"]),
+    "exposure_seconds": ("double", ["exposureSeconds", "exposureTime", "expTime", "exposure_seconds", "headers.EXPTIME", "headers.EXPOSURE"], "s"),
+    "ccd_temp": ("double", ["ccdTempCelsius", "sensorTemp", "detectorTempC", "ccd_temp", "headers.CCD-TEMP", "headers.DET-TEMP", "headers.CCDTEMP"], "c"),
+    "set_temp": ("double", ["setTempCelsius", "targetTemp", "headers.SET-TEMP"], "c"),
     "gain": ("double", ["gain", "cameraGain", "gain_adu", "headers.GAIN", "headers.EGAINSET"]),
     "offset_adu": ("double", ["offset", "blackLevel", "headers.OFFSET"]),
     "binning_x": ("double", ["binningX", "xbin", "headers.XBINNING", "headers.CCDXBIN"]),

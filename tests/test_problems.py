@@ -114,6 +114,9 @@ def test_uniform_table(spark):
     pv, _ = drift(spark, [("f1", [{"exp": 30.0}, {"exp": "abc"}, {"time": {"value": 5, "unit": "s"}}, {"exp": "12.5 s"}])])
     got = {r.line: (r.e, r.failed_casts) for r in schema_drift.uniform_table(pv, {"e": ("double", ["exp", "time"])}).collect()}
     assert got == {0: (30.0, []), 1: (None, ["e"]), 2: (5.0, []), 3: (12.5, [])}
+    pv, _ = drift(spark, [("f1", [{"exp": "5 min"}, {"exp": "7 parsec"}, {"exp": {"value": 2, "unit": "h"}}, {"exp": "9 S"}, {"exp": 4}])])
+    got = {r.line: (r.e, r.failed_casts) for r in schema_drift.uniform_table(pv, {"e": ("double", ["exp"], "s")}).collect()}
+    assert got == {0: (300.0, []), 1: (None, ["e"]), 2: (7200.0, []), 3: (9.0, []), 4: (4.0, [])}
 
 
 def test_uniform_table_keeps_every_path_and_line(spark):
