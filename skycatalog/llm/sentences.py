@@ -303,7 +303,6 @@ def _starts(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame:
     uses = period.groupBy("lang", "script", "tok", "word", "nxt", "shape").agg(F.count(F.lit(1)).alias("n"))
     uses = uses.join(own, ["lang", "script", "tok"], "left").join(pooled, ["script", "tok"], "left")
     initial = F.col("tok").rlike(r"^\p{L}(?:\.\p{L})*$")
-    uses = uses.join(words.select("lang", "script", "tok", "plain"), ["lang", "script", "tok"], "left")
     uses = uses.withColumn("abbr", F.coalesce("own", "pooled", F.lit(False)) | initial).withColumn("own", F.coalesce("own", F.lit(False))).drop("pooled")
 
     # orthography of the next word: in its language, else in its script
@@ -313,7 +312,7 @@ def _starts(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame:
     local = F.coalesce(F.col("um"), F.lit(0)) + F.coalesce(F.col("lo"), F.lit(0)) > 0
     um, lo = F.when(local, F.col("um")).otherwise(F.coalesce("um_all", F.lit(0))), F.when(local, F.col("lo")).otherwise(F.coalesce("lo_all", F.lit(0)))
     u = u.withColumn("open", F.when(um + lo == 0, None).otherwise(lo > um))
-    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "own", "abbr", "open", "plain"))
+    u = cut_lineage(u.select("lang", "script", "tok", "word", "nxt", "key", "shape", "n", "own", "abbr", "open"))
 
     # what follows an abbreviation: its own tendency, in the language, else in those of the script where it was learned as one
     upper = u.where("shape = 'U'")
@@ -340,7 +339,7 @@ def _starts(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame:
     goes = lambda num, n: (_llr(F.col(num), F.col(n), F.col("lang_num"), F.col("lang_n")) >= COLLOCATION) & (F.col(num) > 0.5 * F.col(n))
     before_number = goes("tok_num", "tok_n") | goes("all_num", "all_tok_n")
     is_ordinal = F.col("tok").rlike(r"^\d{1,2}$") & (F.coalesce("ordinal", F.lit(0.0)) >= ORDINAL_SHARE)
-    wordlike = F.col("word").rlike(r"^(?U)\p{L}[\p{Ll}'’-]*$") & (F.length("word") > 3) & (F.coalesce("plain", F.lit(0)) > 0)  # also written without a period
+    wordlike = F.col("word").rlike(r"^(?U)\p{L}[\p{Ll}'’-]*$") & (F.length("word") > 3)
     yes = (
         F.when(is_ordinal | (F.col("shape") == "i") & F.col("abbr"), False)
         .when(F.col("shape") == "d", F.when(F.col("abbr"), F.coalesce(tends, F.lit(False))).otherwise(~before_number))
