@@ -13,6 +13,7 @@ from skycatalog.operators import analytics, export, files, frames, jobs, rollups
 from skycatalog.session import cut_lineage, ship_package
 from skycatalog.sources import headers
 from skycatalog.store import SnapshotStore
+from skycatalog.streaming import debounce
 
 
 class Catalog:
@@ -53,9 +54,19 @@ class Catalog:
     # ---- scanning
     def scan(self, folder_id: str, root: str, skip: list[str] | None = None) -> DataFrame:
         """Walk, parse what is new or changed, merge files and frames, mark what is gone; returns the counters."""
+        return self._merge(folder_id, root, headers.walk(self.spark, root, skip), whole=True)
+
+    def ingest(self, folder_id: str, root: str, checkpoint: str, skip: list[str] | None = None, *, once: bool = True, existing: bool = True):
+        """Starts a stream that merges what comes or changes below `root`, each micro-batch as a scan does; nothing is marked missing.
+
+        Merging is by path, so a repeated batch does no harm.  One writer at a time: no scan may run beside it.
+        """
+        found = headers.watch(self.spark, root, skip, existing=existing)
+        return debounce.ingest(found, lambda batch, _: self._merge(folder_id, root, batch.drop("is_stable"), whole=False), checkpoint, once=once)
+
+    def _merge(self, folder_id: str, root: str, found: DataFrame, *, whole: bool) -> DataFrame:
         old = self.table("files")
-        known = old.where(F.col("watch_folder_id") == folder_id)
-        walked = headers.walk(self.spark, root, skip).withColumn("watch_folder_id", F.lit(folder_id))
+        walked = found.withColumn("watch_folder_id", F.lit(folder_id))
         seen_at = F.lit(self.spark.range(1).select(F.current_timestamp()).first()[0])
         # walk and heads are read once: three tables are written from them
         state = cut_lineage(files.upsert_discovered(schema.conform(old, "files").select("id", *files.KEY, "filename", "extension", "size_bytes", "file_mtime", "sha256", "status", "updated_at"), walked, seen_at))
@@ -73,7 +84,7 @@ class Catalog:
         merged = state.join(errors, F.col("id") == F.col("e_id"), "left").drop("e_id")
         kept = old.select(F.col("id").alias("o_id"), F.col("created_at"), F.col("first_seen_at"))
         table = merged.join(kept, F.col("id") == F.col("o_id"), "left").withColumn("created_at", F.coalesce("created_at", seen_at)).withColumn("first_seen_at", F.coalesce("first_seen_at", seen_at)).withColumn("last_seen_at", F.col("updated_at"))
-        table = files.mark_missing(table, seen_at, folder_id)
+        table = files.mark_missing(table, seen_at, folder_id) if whole else table
         self.store.commit({"files": schema.conform(table, "files"), "frames": schema.conform(frames.upsert_frames(self.table("frames"), new), "frames"), "scan_result": table.select("is_new", "changed", "was_restored", "parse_error")})
         return files.scan_counters(self.store.read("scan_result"), F.col("parse_error").isNotNull())
 

@@ -29,6 +29,9 @@ PROFILES = [
     ("voyager", "SWCREATE", "prefix", "Voyager"),
 ]
 
+# Numeric fields that a capture program writes under a keyword of its own: (profile, field, keyword).
+FIXUPS = [("sgpro", "rotator_angle_deg", "ANGLE")]
+
 # Record field <- FITS keywords, by the type that a keyword must have.
 STRING_KEYWORDS = {
     "object": ["OBJECT"], "image_type": ["IMAGETYP"], "filter": ["FILTER"], "date_obs": ["DATE-OBS"], "telescope": ["TELESCOP"], "instrument": ["INSTRUME"],

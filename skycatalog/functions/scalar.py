@@ -173,6 +173,25 @@ def separation_degrees(ra1: Column, dec1: Column, ra2: Column, dec2: Column) ->
     return F.degrees(2 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
+def _days_since_2000(ts: Column) -> Column:
+    return F.unix_micros(ts) / 86_400_000_000.0 - 10957.5
+
+
+def hours_to_transit(ts: Column, ra: Column, longitude: float) -> Column:
+    """Hours until a position next crosses the meridian of a place."""
+    sidereal = F.pmod(F.lit(280.46061837) + 360.98564736629 * _days_since_2000(ts) + F.lit(longitude), F.lit(360.0))
+    return F.pmod(ra - sidereal, F.lit(360.0)) / 15.04106864
+
+
+def moon_position(ts: Column) -> tuple[Column, Column]:
+    """(right ascension, declination) of the moon in degrees by the mean orbit and its largest terms, good to about a degree."""
+    d = _days_since_2000(ts)
+    lon = F.radians(218.316 + 13.176396 * d + 6.289 * F.sin(F.radians(134.963 + 13.064993 * d)))
+    lat, tilt = F.radians(5.128 * F.sin(F.radians(93.272 + 13.229350 * d))), F.radians(F.lit(23.439))
+    ra = F.pmod(F.degrees(F.atan2(F.sin(lon) * F.cos(tilt) - F.tan(lat) * F.sin(tilt), F.cos(lon))), F.lit(360.0))
+    return ra, F.degrees(F.asin(F.sin(lat) * F.cos(tilt) + F.cos(lat) * F.sin(tilt) * F.sin(lon)))
+
+
 def altitude_degrees(ts: Column, ra: Column, dec: Column, latitude: float, longitude: float) -> Column:
     """Altitude of a position above the horizon of a place."""
     days = F.unix_micros(ts) / 86_400_000_000.0 + 2440587.5 - 2451545.0

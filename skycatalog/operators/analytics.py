@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycatalog.functions import scalar
-from skycatalog.operators.sessions import sessionize
 from skycatalog.session import cut_lineage
 
 #: Degrees of declination of a band of the cone search.
@@ -56,12 +55,23 @@ def cone_search(points: DataFrame, targets: DataFrame, radius_degrees: float) ->
     return p.join(t, F.col("band") == F.col("t_band")).where(F.abs(F.col("dec_deg") - F.col("t_dec")) <= radius_degrees).withColumn("separation", d).where(F.col("separation") <= radius_degrees).select("id", "target_id", "separation")
 
 
-def detect_sessions(frames: DataFrame, zone: str = "UTC", gap_hours: int = 4) -> DataFrame:
-    """Sessions by astronomical day, rig and gap: (equipment_profile_id, astro_day, start, end, frames, targets)."""
-    key = F.concat_ws("|", F.coalesce("equipment_profile_id", F.lit("?")), scalar.astro_day(F.col("date_obs_utc"), zone).cast("string"))
-    s = sessionize(frames, key=key, time="date_obs_utc", event_id="id", gap_seconds=gap_hours * 3600, distinct_of="target_id")
-    part = F.split("key", r"\|")
-    return s.select(part[0].alias("equipment_profile_id"), part[1].alias("astro_day"), F.timestamp_micros("start_us").alias("started_at_utc"), F.timestamp_micros("end_us").alias("ended_at_utc"), "event_count", "distinct_count")
+def detect_sessions(frames: DataFrame, zone: str = "UTC", gap_hours: int = 4, locked: DataFrame | None = None) -> DataFrame:
+    """(equipment_profile_id, astro_day, started_at_utc, ended_at_utc, event_count, distinct_count, kind): sessions by night, rig and gap.
+
+    `frames` has one row an id; kind is 'calibration' where a session has no light frame.  Frames in `locked(id)` were assigned by
+    hand and take no part.  The gaps are found by a window over one night of one rig, which has no more frames than a night has time for.
+    """
+    f = frames.where("date_obs_utc is not null")
+    if locked is not None:
+        f = f.join(locked.select(F.col("id").alias("_lock")), F.col("id") == F.col("_lock"), "left_anti")
+    f = f.select("id", F.coalesce("equipment_profile_id", F.lit("?")).alias("equipment_profile_id"), scalar.astro_day(F.col("date_obs_utc"), zone).cast("string").alias("astro_day"), "date_obs_utc", "target_id", "frame_type")
+    night = Window.partitionBy("equipment_profile_id", "astro_day").orderBy("date_obs_utc", "id")
+    at = F.unix_micros("date_obs_utc")
+    f = f.withColumn("fresh", F.when(at - F.lag(at).over(night) <= gap_hours * 3_600_000_000, 0).otherwise(1)).withColumn("n", F.sum("fresh").over(night))
+    return f.groupBy("equipment_profile_id", "astro_day", "n").agg(
+        F.min("date_obs_utc").alias("started_at_utc"), F.max("date_obs_utc").alias("ended_at_utc"), F.count(F.lit(1)).alias("event_count"), F.countDistinct("target_id").alias("distinct_count"),
+        F.when(F.bool_or(F.col("frame_type") == "light"), "light").otherwise("calibration").alias("kind"),
+    ).drop("n")
 
 
 #: What a master of each kind must have in common with the lights; a dark's temperature is within 2 degrees where both are known.

@@ -60,7 +60,9 @@ def frame_records(rows: DataFrame, headers_json: str, keep: list[str], format: C
     num["ra_deg"] = scalar.ra_degrees(num["ra_deg"], header_text(F.col("_h"), "OBJCTRA"))
     num["dec_deg"] = scalar.dec_degrees(num["dec_deg"], header_text(F.col("_h"), "OBJCTDEC"))
     profile = scalar.detect_profile(lambda k: header_text(F.col("_h"), k))
-    num["rotator_angle_deg"] = F.coalesce(num["rotator_angle_deg"], F.when(profile == "sgpro", header_number(F.col("_h"), "ANGLE")))
+    original = dict(num)
+    for name, field, keyword in rules.FIXUPS:  # each reads the record as it was; a later one wins
+        num[field] = F.coalesce(original[field], F.when(profile == name, header_number(F.col("_h"), keyword)), num[field])
     return h.select(*keep, *[c.alias(f) for f, c in {**text, **num}.items()], profile.alias("capture_profile"))
 
 

@@ -439,9 +439,9 @@ def cone_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {CF}, f as (select *, coalesce(equipment_profile_id, '?') as rig, cast(date_obs_utc - interval 12 hours as date) as astro_day from cf where date_obs_utc is not null),
  g as (select *, case when epoch_us(date_obs_utc) - epoch_us(lag(date_obs_utc) over (partition by rig, astro_day order by date_obs_utc)) <= 14400000000 then 0 else 1 end as fresh from f),
  s as (select *, sum(fresh) over (partition by rig, astro_day order by date_obs_utc rows unbounded preceding) as n from g)
-select rig as equipment_profile_id, cast(astro_day as varchar) as astro_day, epoch_us(min(date_obs_utc)) as started_at_utc, epoch_us(max(date_obs_utc)) as ended_at_utc, count(*) as event_count, count(distinct target_id) as distinct_count from s group by rig, astro_day, n""")
+select rig as equipment_profile_id, cast(astro_day as varchar) as astro_day, epoch_us(min(date_obs_utc)) as started_at_utc, epoch_us(max(date_obs_utc)) as ended_at_utc, count(*) as event_count, count(distinct target_id) as distinct_count, case when coalesce(bool_or(frame_type = 'light'), false) then 'light' else 'calibration' end as kind from s group by rig, astro_day, n""")
 def detect_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return micros(analytics.detect_sessions(current(spark, d, "equipment_profile_id", "date_obs_utc", "target_id")))
+    return micros(analytics.detect_sessions(current(spark, d, "equipment_profile_id", "date_obs_utc", "target_id", "frame_type")))
 
 
 _MILLI = ("exposure_seconds", "gain", "offset_adu", "binning_x", "set_temp")
@@ -501,6 +501,21 @@ def altitudes(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.round(scalar.altitude_degrees(F.col("created_at"), F.col("ra_deg"), F.col("dec_deg"), 28.3, -16.5), 4).alias("altitude"), F.round("ra_deg", 1).alias("ra_coarse"), F.round("dec_deg", 1).alias("dec_coarse"))
 
 
+_DAYS = "(epoch_us(created_at) / 86400000000.0 - 10957.5)"
+_SIDEREAL = f"(((280.46061837 + 360.98564736629 * {_DAYS} - 16.5) % 360.0 + 360.0) % 360.0)"
+_MOON = f"""m as (select *, {_DAYS} as days from targets),
+ e as (select *, radians(218.316 + 13.176396 * days + 6.289 * sin(radians(134.963 + 13.064993 * days))) as lon, radians(5.128 * sin(radians(93.272 + 13.229350 * days))) as lat, radians(23.439) as tilt from m),
+ q as (select *, (degrees(atan2(sin(lon) * cos(tilt) - tan(lat) * sin(tilt), cos(lon))) + 360.0) % 360.0 as moon_ra, degrees(asin(sin(lat) * cos(tilt) + cos(lat) * sin(tilt) * sin(lon))) as moon_dec from e)"""
+
+
+@query(f"""with {_MOON} select id, round((((ra_deg - {_SIDEREAL}) % 360.0 + 360.0) % 360.0) / 15.04106864, 3) as hours_to_transit,
+ round(degrees(2 * asin(sqrt(least(pow(sin(radians(moon_dec - dec_deg) / 2), 2) + cos(radians(dec_deg)) * cos(radians(moon_dec)) * pow(sin(radians(moon_ra - ra_deg) / 2), 2), 1.0)))), 3) as moon_separation from q""")
+def transits(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "targets")
+    moon_ra, moon_dec = scalar.moon_position(F.col("created_at"))
+    return t.select("id", F.round(scalar.hours_to_transit(F.col("created_at"), F.col("ra_deg"), -16.5), 3).alias("hours_to_transit"), F.round(scalar.separation_degrees(F.col("ra_deg"), F.col("dec_deg"), moon_ra, moon_dec), 3).alias("moon_separation"))
+
+
 # ---- search ----------------------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from skycatalog.functions import rules
+from skycatalog.functions import rules, scalar
 from skycatalog.sources import fits, raw, xisf
 
 WALK_SCHEMA = "relative_path string, filename string, extension string, size_bytes bigint, file_mtime timestamp"
@@ -96,6 +97,24 @@ def walk(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataF
     return spark.read.format("skywalk").option("path", root).option("skip", json.dumps(skip or [])).load()
 
 
+def watch(spark: SparkSession, root: str, skip: list[str] | None = None, *, quiet_seconds: int = 2, existing: bool = False) -> DataFrame:
+    """A stream of the image files that come or change below `root`, with the columns of `walk`.
+
+    Spark's file source finds them without reading them; hidden and skipped folders are left out.  Files that were there when the
+    stream was first planned count only if `existing`.  A file that is still being written (`quiet_seconds` not over) comes out
+    marked unstable: it shows again when its time changes.  What is gone is found by the next scan.
+    """
+    started = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
+    s = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(os.path.abspath(root)) + "/", "")
+    name = F.element_at(F.split(path, "/"), -1)
+    f = s.select(path.alias("relative_path"), name.alias("filename"), scalar.extension_of(name).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("file_mtime"))
+    f = f.where(F.col("extension").isin(rules.EXTENSIONS) & scalar.walks_into(F.concat(F.lit("/"), F.col("relative_path")), skip or []))
+    if not existing:
+        f = f.where(F.col("file_mtime") >= started)
+    return f.withColumn("is_stable", F.unix_seconds(F.current_timestamp()) - F.unix_seconds("file_mtime") >= quiet_seconds)
+
+
 def scan_one(extension: str | None, read: fits.Read) -> tuple:
     """(format, status, error code, error message, headers as JSON, cards, header bytes) of one file."""
     e = (extension or "").lower()

@@ -116,6 +116,32 @@ def test_calibration_states(spark):
     assert {r.group_id: r.group_status for r in got} == {"g1": "stale", "g2": "partial", "g3": "missing"}
 
 
+def test_sessions_of_a_night(spark):
+    rows = [("1", "r", T, "a", "light"), ("2", "r", T + dt.timedelta(hours=4), None, "dark"), ("3", "r", T + dt.timedelta(hours=8, seconds=1), "b", "dark"), ("4", None, T, "a", None), ("5", "r", None, "a", "light"), ("6", "r", T, "c", "light")]
+    f = spark.createDataFrame(rows, "id string, equipment_profile_id string, date_obs_utc timestamp, target_id string, frame_type string")
+    got = lambda df: sorted((r.equipment_profile_id, r.event_count, r.distinct_count, r.kind) for r in df.collect())
+    assert got(analytics.detect_sessions(f)) == [("?", 1, 1, "calibration"), ("r", 1, 1, "calibration"), ("r", 3, 2, "light")]
+    assert got(analytics.detect_sessions(f, locked=f.where("id in ('1', '6')").select("id"))) == [("?", 1, 1, "calibration"), ("r", 1, 0, "calibration"), ("r", 1, 1, "calibration")]
+    assert analytics.detect_sessions(f.where("false")).count() == 0
+
+
+def test_watched_folder_as_a_stream(spark, tmp_path):
+    (tmp_path / "in" / "lights").mkdir(parents=True)
+    (tmp_path / "in" / "skip").mkdir()
+    for name in ("lights/a.fits", "lights/b.txt", "lights/.c.fits", "skip/d.fits", "e.NEF"):
+        (tmp_path / "in" / name).write_bytes(b"xx")
+
+    def run(existing, at):
+        w = headers.watch(spark, str(tmp_path / "in"), ["skip"], existing=existing).writeStream.format("memory").queryName(at).option("checkpointLocation", str(tmp_path / at)).trigger(availableNow=True).start()
+        w.awaitTermination()
+        return {(r.relative_path, r.extension, r.size_bytes) for r in spark.table(at).collect()}
+
+    assert run(True, "all_files") == {("lights/a.fits", "fits", 2), ("e.NEF", "nef", 2)}
+    for name in ("lights/a.fits", "e.NEF"):
+        os.utime(tmp_path / "in" / name, (1, 1))
+    assert run(False, "new_files") == set()
+
+
 def test_queue(spark):
     s = "id int, status string, priority int, created_at timestamp, worker_id string, started_at timestamp"
     q = spark.createDataFrame([(1, "queued", -1, T, None, None), (3, "queued", 0, T, None, None), (2, "queued", 0, T, None, T), (4, "running", 9, T, "w", T)], s)
@@ -283,6 +309,20 @@ def test_scan_rescan_and_hash(spark, tmp_path):
     assert cat.setting("k").first()[0].toJson() == "5" if hasattr(cat.setting("k").first()[0], "toJson") else cat.table("settings").count() == 1
 
 
+def test_files_that_come_are_merged(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    head = b"".join(f"{c:<80}".encode() for c in ("SIMPLE  =                    T", "OBJECT  = 'M 31'", "EXPTIME =                  300", "END"))
+    (root / "a.fits").write_bytes(head.ljust(2880))
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    for _ in range(2):
+        cat.ingest("w", str(root), str(tmp_path / "ck")).awaitTermination()
+        (root / "b.fits").write_bytes(b"no head")
+    f = {r.relative_path: (r.status, r.parse_error is None) for r in cat.table("files").collect()}
+    assert f == {"a.fits": ("present", True), "b.fits": ("present", False)}
+    assert [(r.object_raw, r.exposure_seconds) for r in cat.frames().collect()] == [("M 31", 300.0)]
+
+
 def test_exports_facets_and_provenance(spark, tmp_path):
     from skycatalog.functions.scalar import is_uuid
     from skycatalog.operators import export
