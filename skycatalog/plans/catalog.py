@@ -387,14 +387,22 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", scalar.integration_label(F.floor(F.col("exposure_seconds")) * 60).alias("label"), scalar.astro_day(F.col("date_obs_utc")).alias("night"), scalar.is_uuid(F.col("id")).alias("valid_id"))
 
 
-@query(None)
-def header_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Each frame's keywords written as a FITS or XISF head, scanned again, and compared by type."""
+def head_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, headers_json, extension, content): each frame's keywords written as a FITS or XISF head."""
     f = current(spark, d, "file_id", "headers_json")
     ext = read_table(spark, d, "files").select(F.col("id").alias("f_id"), "extension")
     j = f.join(ext, f["file_id"] == ext["f_id"]).where("extension in ('fits', 'xisf')").select("id", "extension", "headers_json")
-    scanned = headers.scan_content(headers.header_bytes(j, "headers_json", "extension", ["id"]), "extension", "content")
-    return scanned.select("id", "format", "status", "error_code", "card_count", "header_bytes", F.try_variant_get(F.try_parse_json("headers_json"), "$.OBJECT", "string").alias("object"))
+    return headers.header_bytes(j, "headers_json", "extension", ["id"])
+
+
+@query(f"""with {CF}, j as (select cf.id, extension, case when json_valid(headers_json) then headers_json::json end as h from cf join files f on f.id = cf.file_id where extension in ('fits', 'xisf'))
+select id, extension as format, 'ok' as status, regexp_replace(rtrim(json_extract_string(h, '$.OBJECT'), ' '), '[^ -~]', '?', 'g') as object, cast(json_extract_string(h, '$.EXPTIME') as varchar) is not null as has_exposure, round(try_cast(json_extract_string(h, '$.EXPTIME') as double), 6) as exposure_seconds, regexp_replace(rtrim(json_extract_string(h, '$.FILTER'), ' '), '[^ -~]', '?', 'g') as filter from j""")
+def header_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's keywords written as a FITS or XISF head and scanned again; in FITS, texts are ASCII and blanks at their end do not count."""
+    scanned = headers.scan_content(head_bytes(spark, d), "extension", "content")
+    h = F.try_parse_json("headers_json")
+    text = lambda k: F.try_variant_get(h, f"$.{k}", "string")
+    return scanned.select("id", "format", "status", F.regexp_replace(F.rtrim(text("OBJECT")), "[^ -~]", "?").alias("object"), text("EXPTIME").isNotNull().alias("has_exposure"), F.round(text("EXPTIME").try_cast("double"), 6).alias("exposure_seconds"), F.regexp_replace(F.rtrim(text("FILTER")), "[^ -~]", "?").alias("filter"))
 
 
 # ---- names, targets, filters -----------------------------------------------------------------------------------------------
