@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from skycatalog.session import cut_lineage
+
 K1, B = 1.2, 0.75
 #: Least inverse document frequency, as in the reference ranking formula.
 IDF_FLOOR = 1e-6
@@ -93,15 +95,16 @@ def _matches(post: DataFrame, item: tuple[str | None, list[str], bool]) -> DataF
     return hit.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(entities: DataFrame, query: str) -> DataFrame:
+def search(entities: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
     """(entity_type, entity_id, title, score): entities that have all terms, best first by score.
 
-    An empty query and unknown words give no rows; ties are in order of type and id.
+    `index` is a stored result of `postings`; without it the texts are read once for the query.  An empty query and unknown
+    words give no rows; ties are in order of type and id.
     """
     groups, excluded = _parse(query)
-    post = postings(entities)
     if not groups:
         return entities.select("entity_type", "entity_id", "title", F.lit(0.0).alias("score")).limit(0)
+    post = cut_lineage(postings(entities)) if index is None else index
     lengths = post.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("dl"))
     stats = entities.agg(F.count(F.lit(1)).alias("n")).join(post.agg(F.count(F.lit(1)).alias("words")))
     found = None

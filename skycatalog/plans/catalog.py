@@ -264,6 +264,8 @@ def walk_rules(spark: SparkSession, d: str) -> DataFrame:
  union all select 'sessions', 'unique id', id from sessions group by id having count(*) > 1
  union all select distinct 'sessions', 'reference equipment_profile_id', equipment_profile_id from sessions where equipment_profile_id is not null and equipment_profile_id not in (select id from equipment_profiles)
  union all select 'targets', 'unique id', id from targets group by id having count(*) > 1
+ union all select 'targets', 'check status', id from targets where status not in ('planning', 'capturing', 'ready', 'processed', 'complete')
+ union all select 'equipment_profiles', 'unique id', id from equipment_profiles where id is not null group by id having count(*) > 1
  union all select 'filters', 'unique id', id from filters group by id having count(*) > 1)
 select * from v""")
 def integrity_violations(spark: SparkSession, d: str) -> DataFrame:

@@ -30,23 +30,41 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Rules:
-    """Constraints of a table: allowed values by column (NULL passes), unique keys, and references (column, table)."""
+    """Constraints of a table: allowed values by column (NULL passes), unique keys, references (column, table), and conditions by name."""
 
     allowed: dict[str, list[str]] = field(default_factory=dict)
     unique: list[list[str]] = field(default_factory=list)
     references: list[tuple[str, str]] = field(default_factory=list)
+    conditions: dict[str, str] = field(default_factory=dict)
 
 
+# The constraints of each table; every table with an id has a unique one.
 RULES = {
-    "files": Rules({"status": ["present", "missing", "duplicate"]}, [["id"], ["watch_folder_id", "relative_path"]]),
+    "watch_folders": Rules({}, [["id"], ["path"]]),
+    "files": Rules({"status": ["present", "missing", "duplicate"]}, [["id"], ["watch_folder_id", "relative_path"]], [("watch_folder_id", "watch_folders"), ("duplicate_of_id", "files")]),
     "frames": Rules(
         {"frame_type": ["light", "dark", "flat", "bias", "darkflat", "unknown"], "frame_type_source": ["header", "path_heuristic", "manual"]},
         [["id"], ["file_id"]],
         [("file_id", "files"), ("target_id", "targets"), ("filter_id", "filters"), ("session_id", "sessions"), ("equipment_profile_id", "equipment_profiles")],
     ),
-    "targets": Rules({}, [["id"]]),
+    "targets": Rules({"status": ["planning", "capturing", "ready", "processed", "complete"]}, [["id"]], [("thumbnail_frame_id", "frames")]),
+    "target_aliases": Rules({"source": ["builtin", "user"]}, [["id"], ["target_id", "alias_normalized"]], [("target_id", "targets")]),
     "filters": Rules({}, [["id"]]),
     "sessions": Rules({}, [["id"]], [("equipment_profile_id", "equipment_profiles")]),
+    "equipment_profiles": Rules({}, [["id"]]),
+    "master_frames": Rules({"master_type": ["dark", "flat", "bias", "darkflat"]}, [["id"]], [("file_id", "files"), ("equipment_profile_id", "equipment_profiles"), ("filter_id", "filters")]),
+    "master_frame_subs": Rules({}, [["id"], ["master_frame_id", "frame_id"]], [("master_frame_id", "master_frames"), ("frame_id", "frames")]),
+    "processing_projects": Rules({}, [["id"]], [("target_id", "targets")]),
+    "project_inputs": Rules(
+        {"input_type": ["frame", "master_frame"]},
+        [["id"], ["project_id", "frame_id", "master_frame_id"]],
+        [("project_id", "processing_projects"), ("frame_id", "frames"), ("master_frame_id", "master_frames")],
+        {"exactly one input": "(input_type = 'frame') = (frame_id is not null) and (input_type = 'master_frame') = (master_frame_id is not null)"},
+    ),
+    "processed_images": Rules({}, [["id"]], [("project_id", "processing_projects"), ("file_id", "files")]),
+    "scan_jobs": Rules({"status": ["queued", "running", "completed", "failed", "cancelled"]}, [["id"]], [("watch_folder_id", "watch_folders")]),
+    "thumbnails": Rules({}, [["id"], ["frame_id"]], [("frame_id", "frames")]),
+    "settings": Rules({}, [["key"]]),
 }
 
 
@@ -67,11 +85,13 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         r = RULES.get(name, Rules())
         for c, values in r.allowed.items():
             add(df.where(F.col(c).isNotNull() & ~F.col(c).isin(values)), name, f"check {c}", F.col("id"))
+        for rule, condition in r.conditions.items():
+            add(df.where(f"not coalesce({condition}, false)"), name, rule, F.col("id"))
         for key in r.unique:
             known = df.dropna(subset=key)
             add(known.groupBy(*key).count().where("count > 1"), name, f"unique {','.join(key)}", F.concat_ws("|", *key))
         for c, other in r.references:
-            if other in tables:
+            if other in tables and c in df.columns:
                 known = df.where(F.col(c).isNotNull()).select(F.col(c).alias("_ref")).distinct()
                 add(known.join(tables[other].select(F.col("id").alias("_id")), F.col("_ref") == F.col("_id"), "left_anti"), name, f"reference {c}", F.col("_ref"))
     total = out[0]

@@ -21,6 +21,7 @@ def get_spark(app: str = "skycatalog", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)

@@ -105,7 +105,7 @@ def watch(spark: SparkSession, root: str, skip: list[str] | None = None, *, quie
     marked unstable: it shows again when its time changes.  What is gone is found by the next scan.
     """
     started = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
-    s = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(os.path.abspath(root)) + "/", "")
     name = F.element_at(F.split(path, "/"), -1)
     f = s.select(path.alias("relative_path"), name.alias("filename"), scalar.extension_of(name).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("file_mtime"))

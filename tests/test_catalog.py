@@ -142,6 +142,15 @@ def test_watched_folder_as_a_stream(spark, tmp_path):
     assert run(False, "new_files") == set()
 
 
+def test_rules_of_all_tables(spark):
+    empty = {t: spark.createDataFrame([], schema.SCHEMAS[t]) for t in schema.SCHEMAS}
+    assert set(schema.RULES) == set(schema.SCHEMAS) and schema.violations(empty).count() == 0
+    inputs = spark.createDataFrame([("1", "p", "frame", "f", None), ("2", "p", "frame", None, "m"), ("3", "p", "other", None, None), ("4", "p", "master_frame", "f", "m")], "id string, project_id string, input_type string, frame_id string, master_frame_id string")
+    got = {(r.rule, r.key) for r in schema.violations({**empty, "project_inputs": schema.conform(inputs, "project_inputs")}).collect()}
+    # 'other' with no input meets the condition, and is caught by the allowed values
+    assert got == {("check input_type", "3"), ("exactly one input", "2"), ("exactly one input", "4"), ("reference project_id", "p"), ("reference frame_id", "f"), ("reference master_frame_id", "m")}
+
+
 def test_queue(spark):
     s = "id int, status string, priority int, created_at timestamp, worker_id string, started_at timestamp"
     q = spark.createDataFrame([(1, "queued", -1, T, None, None), (3, "queued", 0, T, None, None), (2, "queued", 0, T, None, T), (4, "running", 9, T, "w", T)], s)
