@@ -43,7 +43,7 @@ PAIRS = {"”": "“", "」": "「", "』": "『", "）": "（", "》": "《"}
 LATIN_END = regex.compile(r"(?V1)(?P<mark>[[\p{Sentence_Terminal}…;]--[。！？｡．]]+)(?P<close>\s»|[\"'»”’“)\]]*)(?P<gap>\s+)")
 WIDE = re.compile(r"[。！？…“”「」『』（）《》]")
 WIDE_TEXT = re.compile(r"[぀-ヿ㐀-鿿！-｠。、]")
-THAI_GAP = re.compile(r"\s+")
+THAI, THAI_GAP = re.compile("[\u0e00-\u0e7f]"), re.compile(r"\s+")
 
 FIRST = re.compile(r"\S*?([^\W_])")
 NONSPACE, WORDLETTERS = re.compile(r"\S+"), re.compile(r"\w*")
@@ -86,10 +86,6 @@ def script_of(ch: str) -> str:
     return unicodedata.name(ch, "LATIN").split(" ", 1)[0] if ch.isalpha() else "LATIN"
 
 
-def in_thai(ch: str) -> bool:
-    return unicodedata.name(ch, "").startswith("THAI ")
-
-
 def counted(word: str) -> str:
     """The word, or its beginning with a digest of all of it where it is long."""
     return word if len(word) <= LONG_WORD else word[:LONG_WORD] + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
@@ -197,9 +193,9 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
         if len(nxt) == 1 and nxt.isalpha() and right[1:2] == ".":
             shape = "i"
         yield end, shape, counted(word), counted(nxt)
-    for m in THAI_GAP.finditer(text):  # in Thai a blank not beside a digit
+    for m in THAI_GAP.finditer(text) if THAI.search(text) else ():  # in Thai a blank not beside a digit
         a, b = m.start() - 1, m.end()
-        if a >= 0 and b < len(text) and (in_thai(text[a]) or in_thai(text[b])) and not text[a].isdigit() and not text[b].isdigit() and text[a] not in ".!?…;":
+        if a >= 0 and b < len(text) and (THAI.match(text[a]) or THAI.match(text[b])) and not text[a].isdigit() and not text[b].isdigit() and text[a] not in ".!?…;":
             yield b, "sure", "", ""
 
 
