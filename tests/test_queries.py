@@ -59,6 +59,7 @@ def test_entry(spark):
 
 
 def test_scans_read_what_is_needed(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = catalog.integration_rollup(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(id)" in plan
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
