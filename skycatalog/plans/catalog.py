@@ -647,7 +647,7 @@ def sync_lww(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def generated_frames(spark: SparkSession, d: str) -> DataFrame:
-    """As many synthetic frames as there are frames, with the weights that the targets and filters have in them."""
+    """As many synthetic frames as there are frames, with the weights of the 40 most imaged targets in them; all else is fixed."""
     f = read_table(spark, d, "frames").where("frame_type = 'light'")
     top = [(r.k, float(r.n)) for r in f.where("target_id is not null").groupBy(F.col("target_id").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(40).collect()]
     total = sum(n for _, n in top) or 1.0
