@@ -25,6 +25,7 @@ from skycatalog.session import broadcast_if_small, cut_lineage
 
 #: Readings that a tree is grown on, the isolation forest's own number; one has a departure and one a run beyond the ordinary, so that the tree knows their range.
 TREES, TREE_SAMPLE, DEPTH = 32, 256, 8
+NODES = 2 ** (DEPTH + 1) - 1
 #: Readings of a node that is not cut further; what more cuts would give on average is added to its path length.
 LEAF_READINGS = 4
 #: Share of a source's readings whose departures are within its noise.
@@ -130,47 +131,51 @@ def _path_norm(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_forest(ordinary: np.ndarray, tails: list[np.ndarray], seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Trees as (feature, threshold, path length at leaf) in heap order; feature -1 marks a leaf.
+def grow_forest(ordinary: np.ndarray, tails: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, path length at leaf) of the nodes of all trees, one tree after the other in heap order; feature -1 marks a leaf.
 
     The readings are in a random order, and each tree takes those that follow the tree's before, around the end.
-    A feature is cut as often as it is wide in the node, so that few cuts part what lies far out.
+    A feature is cut as often as it is wide in the node, so that few cuts part what lies far out.  All trees grow a level at a time.
     """
-    rng, forest, sample = np.random.default_rng(seed), [], np.vstack([ordinary, *tails])
-    nodes, firsts = 2 ** (DEPTH + 1) - 1, np.cumsum([len(ordinary), *[len(t) for t in tails]])
-    own = min(len(ordinary), TREE_SAMPLE - sum(len(t) > 0 for t in tails))
-    for tree in range(TREES):
-        one = [first + tree % len(t) for first, t in zip(firsts, tails, strict=False) if len(t)]
-        pick = np.concatenate([(tree * own + np.arange(own)) % len(ordinary), np.array(one, int)])
-        feature, threshold, length = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
-        todo = [(0, pick, 0)]
-        while todo:
-            at, rows, depth = todo.pop()
-            x = sample[rows]
-            width = np.ptp(x, axis=0).cumsum(dtype=float) if len(rows) else np.zeros(1)
-            if depth == DEPTH or len(rows) <= LEAF_READINGS or width[-1] <= 0:
-                length[at] = depth + _path_norm(len(rows))
-                continue
-            f = int(np.searchsorted(width, rng.random() * width[-1], side="right"))
-            lo, hi = x[:, f].min(), x[:, f].max()
-            cut = max(rng.uniform(lo, hi), float(np.nextafter(lo, hi)))
-            feature[at], threshold[at] = f, cut
-            left = x[:, f] < cut
-            todo += [(2 * at + 1, rows[left], depth + 1), (2 * at + 2, rows[~left], depth + 1)]
-        forest.append((feature, threshold, length))
-    return forest
-
-
-def forest_scores(forest: list, x: np.ndarray, sample_size: int) -> np.ndarray:
+    rng, tree = np.random.default_rng(seed), np.arange(TREES)[:, None]
+    tails = [t for t in tails if len(t)]
+    own = min(len(ordinary), TREE_SAMPLE - len(tails))
+    x = np.concatenate([ordinary[(tree * own + np.arange(own)) % len(ordinary)], *[t[tree % len(t)] for t in tails]], axis=1)
+    root = np.repeat(np.arange(TREES) * NODES, x.shape[1])
+    x, at = x.reshape(len(root), -1), root
+    feature, threshold, length = np.full(TREES * NODES, -1), np.zeros(TREES * NODES), np.zeros(TREES * NODES)
+    for depth in range(DEPTH + 1):
+        order = np.argsort(at, kind="stable")
+        x, at, root = x[order], at[order], root[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        node, n = at[first], np.diff(first, append=len(at))
+        lo, hi = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        width = (hi - lo).cumsum(axis=1, dtype=float)
+        cut = (n > LEAF_READINGS) & (width[:, -1] > 0) & (depth < DEPTH)
+        length[node[~cut]] = depth + _path_norm(n[~cut])
+        if not cut.any():
+            break
+        f = (width[cut] <= rng.random((cut.sum(), 1)) * width[cut, -1:]).sum(axis=1)
+        least, most = lo[cut, f], hi[cut, f]
+        t = np.maximum(rng.uniform(least, most), np.nextafter(least, most))
+        feature[node[cut]], threshold[node[cut]] = f, t
+        stay = np.repeat(cut, n)
+        x, at, root = x[stay], at[stay], root[stay]
+        right = x[np.arange(len(x)), np.repeat(f, n[cut])] >= np.repeat(t, n[cut])
+        at = 2 * at - root + 1 + right
+    return feature, threshold, length
+
+
+def forest_scores(forest: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, sample_size: int) -> np.ndarray:
     total, flat, first = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
-    for feature, threshold, length in forest:
+    for feature, threshold, length in zip(*[a.reshape(TREES, NODES) for a in forest], strict=True):
         at = np.zeros(len(x), np.int64)
         for _ in range(DEPTH):
             f = feature[at]
             at = np.where(f < 0, at, 2 * at + 1 + (flat[first + np.maximum(f, 0)] >= threshold[at]))
         total += length[at]
     norm = float(_path_norm(min(sample_size, TREE_SAMPLE)))
-    return 2.0 ** (-total / len(forest) / max(norm, 1e-9))
+    return 2.0 ** (-total / TREES / max(norm, 1e-9))
 
 
 FEATURES = ["f_level", "f_difference", "f_season", "f_run"]

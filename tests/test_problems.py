@@ -260,3 +260,33 @@ def test_forest_isolates_what_is_far(n):
     forest = spikes.grow_forest(x, [np.full((1, 4), 12.0), np.empty((0, 4))], 1)
     s = spikes.forest_scores(forest, np.vstack([x[:n], np.full((1, 4), 12.0)]), 501)
     assert s[-1] > 0.55 and s[-1] > s[:-1].max()
+
+
+def test_trees_grow_a_level_at_a_time():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, tails = rng.normal(size=(3000, 4)).astype(np.float32), [np.full((40, 4), 9.0, np.float32), np.empty((0, 4), np.float32)]
+    took = {"grow": [], "score": []}
+    for seed in range(5):
+        t = [time.process_time()]
+        forest = spikes.grow_forest(x, tails, seed)
+        t.append(time.process_time())
+        spikes.forest_scores(forest, x, 256)
+        t.append(time.process_time())
+        took["grow"].append(t[1] - t[0])
+        took["score"].append(t[2] - t[1])
+    assert min(took["grow"]) < 3 * min(took["score"])  # tree by tree and node by node: 6 times
+    # the readings of each tree, sent down, are as many at each leaf as its path length says
+    for tree, (feature, threshold, length) in enumerate(zip(*[a.reshape(spikes.TREES, -1) for a in forest], strict=True)):
+        own, leaves = np.vstack([x[(tree * 255 + np.arange(255)) % 3000], tails[0][:1]]), {}
+        for r in own:
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + int(r[feature[at]] >= threshold[at])
+            leaves[at] = leaves.get(at, 0) + 1
+        depth = {at: int(np.log2(at + 1)) for at in leaves}
+        assert set(leaves) == set(np.flatnonzero(length)) and all(length[at] == pytest.approx(depth[at] + float(spikes._path_norm(n))) for at, n in leaves.items())
+        assert all(n <= spikes.LEAF_READINGS or depth[at] == spikes.DEPTH for at, n in leaves.items())
