@@ -72,9 +72,10 @@ def flat(text: str) -> str:
     return bare(text).casefold()
 
 
+@lru_cache(maxsize=1 << 18)
 def folded(token: str) -> str:
     """A token without case; numbers with one kind of separator."""
-    return token.translate(SEPARATORS) if token[0].isdigit() else token.casefold()
+    return (token.translate(SEPARATORS) if token[0].isdigit() else token).casefold()
 
 
 @lru_cache(maxsize=1 << 18)
@@ -93,7 +94,8 @@ def _windows(codes: np.ndarray, since: np.ndarray | None = None) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):
-            out = out * np.uint64(P) + codes[k : k + n]
+            out *= np.uint64(P)
+            out += codes[k : k + n]
             if since is not None:
                 back = since[k : k + n]
                 out += np.where(back <= k, back, 0).astype(np.uint64) << np.uint64(8)
@@ -145,8 +147,8 @@ def _slot(token: str) -> int:
 
 def _codes(stream: list[str], names: np.ndarray, kinds: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """Codes of the tokens for each kind of key, and how far back the same token stood; each distinct token is looked at once."""
-    at: dict[str, int] = {}
-    place = np.fromiter((at.setdefault(t, len(at)) for t in stream), np.int64, len(stream))
+    at = {t: k for k, t in enumerate(dict.fromkeys(stream))}
+    place = np.fromiter(map(at.__getitem__, stream), np.int64, len(stream))
     small = [folded(t) for t in at]
     plain = np.fromiter(map(_code, small), np.uint64, len(at))
     if kinds == [PLAIN]:
@@ -154,8 +156,8 @@ def _codes(stream: list[str], names: np.ndarray, kinds: list[int]) -> tuple[list
     slot = np.fromiter(map(_slot, at), np.uint64, len(at))
     named = np.where((slot == 0) | (slot == NAME), np.where(_held(names, plain.view(np.int64)), np.uint64(NAME), np.uint64(0)), slot)
     # the place before of each token, case aside
-    ids: dict[str, int] = {}
-    same = np.fromiter((ids.setdefault(t, len(ids)) for t in small), np.int64, len(at))[place]
+    ids = {t: k for k, t in enumerate(dict.fromkeys(small))}
+    same = np.fromiter(map(ids.__getitem__, small), np.int64, len(at))[place]
     order = np.argsort(same, kind="stable")
     since = np.full(len(stream), len(stream))
     again = same[order[1:]] == same[order[:-1]]
@@ -202,7 +204,7 @@ def _window_rows(batches: Iterator[pd.DataFrame], names: Broadcast | None, wante
                 hit = np.flatnonzero(keep)
                 if wanted is not None:
                     hit = hit[_held(wanted.value, hashes[hit])]
-                yield pd.DataFrame({"id": ids[doc[hit]], "pos": pos[hit].astype(np.int32), "key": np.full(len(hit), key, np.int32), "template": hashes[hit], "tokens": pd.Series([[folded(t) for t in stream[i : i + WINDOW]] for i in hit], dtype=object)})
+                yield pd.DataFrame({"id": ids[doc[hit]], "pos": pos[hit].astype(np.int32), "key": np.full(len(hit), key, np.int32), "template": hashes[hit], "tokens": pd.Series([list(map(folded, stream[i : i + WINDOW])) for i in hit], dtype=object)})
 
 
 def _case_rows(batches: Iterator[pd.DataFrame], decode: bool) -> Iterator[pd.DataFrame]:

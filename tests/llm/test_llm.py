@@ -182,6 +182,20 @@ def test_leaks_exchanged_words_are_names(spark):
     assert {k: v[0] for k, v in got.items()} == {(1, 0): "verbatim", (3, 0): "verbatim"} and got[(1, 0)][1] == len(item.split())
 
 
+def test_p7_found_by_templates_and_slots(spark, tmp_path, monkeypatch):
+    from skycatalog.llm import queries
+
+    item = "Before the storm Anna poured 16MB litres into kettles and Anna sealed them while 1,200 guests waited near the harbour for Anna to finish"
+    texts = [item, item.replace("Anna", "Zoltan").replace("16MB", "4").replace("1,200", "90"), " ".join(item.split()[:12]).lower(), item.replace("Anna", "Zoltan", 1).replace("Anna", "Osmere", 1).replace("Anna", "Zoltan")]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "en", item)], "item_id long, lang string, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    windows, real = [], leaks.leaked_windows
+    monkeypatch.setattr(leaks, "leaked_windows", lambda *a, **kw: windows.append(real(*a, **kw)) or windows[0])
+    assert {tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()} == {(0, 0), (2, 0)}
+    kinds = {(r.doc_id, r.kind) for r in windows[0].collect()}
+    assert {(0, "verbatim"), (1, "reparameterised"), (2, "verbatim")} <= kinds and (1, "verbatim") not in kinds
+
+
 # ---- mixing
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER_PATH), reason="no public tokenizer here")
